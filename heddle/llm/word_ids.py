@@ -1,8 +1,11 @@
 """Token ids by a tokenizer file of the ``tokenizers`` library, packed as little-endian uint32.
 
-The tokenizer of the packing operators drops white space and its pieces never cross it,
-so a text's ids are those of its white-space-free chunks in order. Each distinct chunk
-of a batch is tokenised once and kept in a bounded cache.
+The tokenizer of the packing operators folds case, drops white space and its pieces never
+cross it, so a text's ids are those of its chunks in order. The distinct chunks of a part
+of about 8 MB are tokenised once: punctuation after an ASCII letter starts a piece of its
+own, so chunks share the ids of their stems; stems of letters alone are tokenised many to
+a call and cut apart at the tokens that end words. Stems stay in a bounded cache.
+Chunks that may hold a special token's string are tokenised by themselves, as they are.
 """
 
 from __future__ import annotations
@@ -10,46 +13,89 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CACHE = 300_000
+from heddle.llm.chunks import coded, slices
 
+#: Stems a worker keeps; a bound on memory, not on what is tokenised.
+CACHE = 400_000
+PUNCTUATION = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+JOINED = 500
 
-class Chunks:
+
+class Words:
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.cache: dict[bytes, bytes] = {}
-
-    def pack(self, texts: list[str | None], end: int | None) -> list[bytes]:
-        tail = np.array([] if end is None else [end], "<u4").tobytes()
-        out: list[bytes] = []
-        for start in range(0, len(texts), 256):
-            chunks = [t.encode("utf-8").split() if t else [] for t in texts[start : start + 256]]
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            cache = self.cache
-            fresh = list({c for row in chunks for c in row if c not in cache})
-            if fresh:
-                for chunk, code in zip(fresh, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in fresh], add_special_tokens=False), strict=True):
-                    cache[chunk] = np.array(code.ids, "<u4").tobytes()
-            out += [b"".join([cache[c] for c in row]) + tail for row in chunks]
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cache: dict[str, bytes] = {}
+
+    def _each(self, pieces: list[str]) -> None:
+        for piece, code in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.cache[piece] = np.array(code.ids, "<u4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if p.isalpha()]
+        self._each([p for p in pieces if not p.isalpha()])
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, code in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(code.ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(group):  # folding has made marks out of a letter, which only adds words
+                self._each(group)
+                continue
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(group, ends.tolist(), strict=True):
+                self.cache[piece] = data[start:end]
+                start = end
+
+    def pack(self, texts: pa.Array, end: int | None) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        codes, ends, chunks = coded(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        stems = pc.ascii_rtrim(chunks, characters=PUNCTUATION)
+        split = pc.and_(pc.match_substring_regex(stems, "[a-z]$"), pc.invert(pc.match_substring(chunks, "<|")))
+        stems = pc.if_else(split, stems, chunks).to_pylist()
+        tails = [c[len(s) :] for c, s in zip(chunks.to_pylist(), stems, strict=True)]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        cache = self.cache
+        fresh = [p for p in {*stems, *tails} if p not in cache]
+        if fresh:
+            self.learn(fresh)
+        parts = [cache[s] + cache[t] if t else cache[s] for s, t in zip(stems, tails, strict=True)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        counts = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        stops = np.concatenate(([0], np.cumsum(counts)))
+        flat = ids[np.repeat(starts[codes] - stops[:-1], counts) + np.arange(stops[-1])] if len(codes) else ids[:0]
+        data, tail = flat.tobytes(), b"" if end is None else np.array([end], "<u4").tobytes()
+        edges = (np.concatenate(([0], stops[ends])) * 4).tolist()
+        return [data[a:b] + tail for a, b in zip(edges, edges[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
-def chunks(tokenizer_file: str) -> Chunks:
-    return Chunks(tokenizer_file)
+def words_of(tokenizer_file: str) -> Words:
+    return Words(tokenizer_file)
+
+
+def pack(texts: pa.Array, tokenizer_file: str, end: int | None) -> list[bytes]:
+    own = words_of(tokenizer_file)
+    return [row for part in slices(texts) for row in own.pack(part, end)]
 
 
 def packed_ids(text: Column, tokenizer_file: str, end: int | None) -> Column:
     """Binary: the text's ids, then ``end``; null text counts as empty."""
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(chunks(tokenizer_file).pack(texts.tolist(), end), dtype=object)
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array(pack(texts, tokenizer_file, end), pa.binary())
 
     return ids(text)
