@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, maxscore, minhash, packing, quality
-from heddle.llm.common import table
+from heddle.llm import bpe, maxscore, minhash, packing, quality, toxicity
+from heddle.llm.common import crc_mod, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -87,6 +87,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
 
@@ -96,6 +103,7 @@ QUERIES = {
     "op4_maxscore": op4_maxscore,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL = {"op4_maxscore": OP4_SQL, "op5_minhash": OP5_SQL, "op6_quality_rules": OP6_SQL}
