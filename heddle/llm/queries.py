@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, maxscore, minhash, packing, quality, toxicity
+from heddle.llm import bpe, extraction, maxscore, minhash, packing, quality, toxicity
 from heddle.llm.common import crc_mod, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -94,6 +94,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", extraction.main_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL = {"op4_maxscore": OP4_SQL, "op5_minhash": OP5_SQL, "op6_quality_rules": OP6_SQL}
