@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, extraction, maxscore, minhash, packing, quality, toxicity
+from heddle.llm import bpe, extraction, maxscore, minhash, packing, quality, secrets, toxicity
 from heddle.llm.common import crc_mod, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -103,6 +103,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(table(spark, sf_dir, "documents"), path_col="source")
+    return found.select("doc_id", "start", "length", "rule", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_maxscore": op4_maxscore,
@@ -111,5 +116,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
 ORACLE_SQL = {"op4_maxscore": OP4_SQL, "op5_minhash": OP5_SQL, "op6_quality_rules": OP6_SQL}
