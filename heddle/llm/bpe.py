@@ -19,13 +19,17 @@ import heapq
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heddle.llm.chunks import slices
+
 LONG = 512
+STEM_AND_TAIL = r"(?s)^(?P<stem>.*[A-Za-z])(?P<tail>[!-/:-@\[-`{-~]*)$"
 #: Distinct pre-tokens a worker keeps; a bound on memory, not on what is encoded.
-CACHE = 200_000
+CACHE = 300_000
 EMPTY = np.int64(-1)
 HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,6 +88,9 @@ class Codec:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.token_sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = map(np.array, zip(*pairs, strict=True)) if pairs else ([], [], [])
@@ -91,7 +98,7 @@ class Codec:
         self.known: dict[tuple[int, int], int] = {}
         self.cache: dict[str, bytes] = {}  # int32 ids of a pre-token
 
-    def _matrix(self, rows: list[bytes]) -> list[np.ndarray]:
+    def _matrix(self, rows: list[bytes]) -> list[bytes]:
         """Ids of byte strings of like length: one padded matrix, one merge per row and round."""
         width = max(map(len, rows))
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -106,9 +113,12 @@ class Codec:
             best = rank.argmin(1) if rank.shape[1] else np.zeros(len(live), np.int64)
             value = rank[np.arange(len(live)), best] if rank.shape[1] else np.full(len(live), top)
             done = value == top
-            for k in np.flatnonzero(done):
-                row = ids[k]
-                out[live[k]] = row[row >= 0]
+            if done.any():
+                ended = ids[done]
+                real = ended >= 0
+                data, edges = ended[real].tobytes(), (np.cumsum(real.sum(1)) * 4).tolist()
+                for row, a, b in zip(live[done].tolist(), [0, *edges], edges, strict=False):
+                    out[row] = data[a:b]
             on = ~done
             live, best, value, ids = live[on], best[on], value[on], ids[on]
             if not len(live):
@@ -179,32 +189,91 @@ class Codec:
             for start in range(0, len(members), 16_384):
                 part = members[start : start + 16_384]
                 for k, ids in zip(part, self._matrix([coded[k] for k in part]), strict=True):
-                    self.cache[pieces[k]] = ids.tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        start = 0
-        while start < len(texts):  # by about 4 MB of text, so that memory does not follow the batch
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size < 4_000_000):
-                size += len(texts[stop] or "")
-                stop += 1
-            split = [self.split(t) if t else [] for t in texts[start:stop]]
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-                self.known.clear()
-            cache = self.cache
-            distinct = set().union(*split)
-            fresh = [p for p in distinct if p not in cache]
-            if fresh:
-                self.encode_pieces(fresh)
-            of = cache.__getitem__
-            out += [np.frombuffer(b"".join(map(of, pieces)), np.int32) for pieces in split]
-            start = stop
-        return out
+                    self.cache[pieces[k]] = ids
+
+    def learn(self, pieces: set[str]) -> None:
+        fresh = [p for p in pieces if p not in self.cache]
+        if fresh:
+            self.encode_pieces(fresh)
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of strings whose pre-tokens are the same alone as in their text."""
+        cache = self.cache
+        cache[""] = b""
+        fresh = [u for u in units if u not in cache]
+        self.learn({u for u in fresh if u[u[0] == " " :].isalpha()})  # a pre-token as it is
+        fresh = {u: self.split(u) for u in fresh if u not in cache}
+        self.learn({p for pieces in fresh.values() for p in pieces})
+        for unit, pieces in fresh.items():
+            if len(pieces) != 1:
+                self.cache[unit] = b"".join([self.cache[p] for p in pieces])
+        return [self.cache[u] for u in units]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ends): text i has ids[ends[i-1]:ends[i]].
+
+        Texts are cut before every space into units, which Arrow makes distinct. A cut is
+        safe unless white space meets white space there; texts with such a place are split
+        as a whole.
+        """
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+            self.known.clear()
+        lists = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        codes, segments = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        if not len(codes):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        sizes = pc.binary_length(segments).to_numpy(zero_copy_only=False)
+        trimmed = lambda kernel: pc.binary_length(kernel(segments)).to_numpy(zero_copy_only=False)
+        blank = sizes == 0
+        opens, closes = blank | (trimmed(pc.utf8_ltrim_whitespace) < sizes), blank | (trimmed(pc.utf8_rtrim_whitespace) < sizes)
+        first = np.zeros(len(codes), bool)
+        first[offsets[:-1]] = True
+        meets = np.zeros(len(codes), bool)
+        meets[1:] = closes[codes[:-1]] & opens[codes[1:]] & ~first[1:] & ~(first[:-1] & blank[codes[:-1]])
+        whole = np.logical_or.reduceat(meets, offsets[:-1])
+        # punctuation after an ASCII letter starts a pre-token, so units share the ids of their stems
+        halves = pc.extract_regex(segments, STEM_AND_TAIL)
+        stems = pc.if_else(halves.is_valid(), halves.field("stem"), segments).dictionary_encode()
+        tails = pc.fill_null(halves.field("tail"), "").dictionary_encode()
+        stem_of, tail_of = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (stems, tails))
+        kinds = stem_of[codes] * 2 + ~first
+        live = ~np.repeat(whole, np.diff(offsets))
+        used = np.flatnonzero(np.bincount(kinds[live], minlength=2 * len(stems.dictionary)))
+        names, ends = stems.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        parts = self._units([" " * (k & 1) + names[k >> 1] for k in used.tolist()])
+        place = np.zeros(2 * len(names), np.int64)
+        place[used] = np.arange(len(used))
+        last = len(parts) + np.arange(len(ends))
+        parts += self._units(ends)
+        odd = np.flatnonzero(whole).tolist()
+        text_at = len(parts) + np.arange(len(odd))
+        for i in odd:
+            pieces = self.split(texts[i].as_py())
+            self.learn(set(pieces))
+            parts.append(b"".join(map(self.cache.__getitem__, pieces)))
+        # a unit's stem and tail; of a text split as a whole, one entry
+        entries = np.full((len(codes), 2), -1)
+        entries[live, 0], entries[live, 1] = place[kinds[live]], last[tail_of[codes[live]]]
+        entries[offsets[:-1][odd], 0] = text_at
+        entries = entries.ravel()
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        counts = np.where(entries >= 0, sizes[entries], 0)
+        stops = np.cumsum(counts)
+        flat = ids[np.repeat(starts[entries] - (stops - counts), counts) + np.arange(stops[-1])]
+        return flat, stops[offsets[1:] * 2 - 1]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(all bytes, ends): the tokens' bytes gathered from one table."""
+        sizes = self.token_sizes[ids]
+        stops = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.repeat(self.token_starts[ids] - stops[:-1], sizes) + np.arange(stops[-1])
+        return self.token_bytes[at].tobytes(), stops[ends]
 
 
 @lru_cache(maxsize=4)
@@ -215,9 +284,13 @@ def codec(rank_file: str, pattern: str) -> Codec:
 def encode(text: Column, rank_file: str, pattern: str) -> Column:
     """array<int> of token ids of each text; null text gives an empty array."""
 
-    @F.pandas_udf("array<int>")
-    def bpe_encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(rank_file, pattern).encode(texts.tolist()), dtype=object)
+    @F.arrow_udf("array<int>")
+    def bpe_encode(texts: pa.Array) -> pa.Array:
+        own = codec(rank_file, pattern)
+        done = [own.encode(part) for part in slices(texts)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(d[0] for d in done)])
+        sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(d[1], prepend=0) for d in done)])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(ids))
 
     return bpe_encode(text)
 
@@ -225,9 +298,11 @@ def encode(text: Column, rank_file: str, pattern: str) -> Column:
 def decode(ids: Column, rank_file: str, pattern: str) -> Column:
     """The bytes the ids stand for; null ids give empty bytes."""
 
-    @F.pandas_udf("binary")
-    def bpe_decode(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def bpe_decode(rows: pa.Array) -> pa.Array:
         own = codec(rank_file, pattern)
-        return pd.Series([own.decode(np.asarray(r)) if r is not None else b"" for r in rows], dtype=object)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        out, ends = own.decode(rows.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(out)])
 
     return bpe_decode(ids)
