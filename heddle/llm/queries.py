@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, extraction, maxscore, minhash, packing, quality, secrets, toxicity
+from heddle.llm import bpe, extraction, maxscore, minhash, packing, quality, secrets, shards, toxicity
 from heddle.llm.common import crc_mod, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per slot of the training order: its shard, byte offset and a digest of the record read back from the shard."""
+    length, per_shard = 2048, 1024
+    slots = shards.materialise_order(table(spark, sf_dir, "documents"), WORD_TOKENIZER, length=length, per_shard=per_shard)
+    shard = F.floor(F.col("slot") / per_shard).cast("long")
+    return slots.select("slot", shard.alias("shard"), ((F.col("slot") - shard * per_shard) * (2 * length + 1)).alias("byte_offset"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -110,6 +118,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_token_shards": op3_token_shards,
     "op4_maxscore": op4_maxscore,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
