@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, extraction, maxscore, minhash, packing, quality, secrets, shards, toxicity
+from heddle.llm import bpe, extraction, katz, maxscore, minhash, packing, quality, secrets, shards, toxicity
 from heddle.llm.common import crc_mod, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", bpe.encode(F.col("text"), BYTE_RANKS, public_tokenizers.PATTERN).alias("ids"))
@@ -117,6 +121,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_bpe": op2_bpe,
     "op3_token_shards": op3_token_shards,
     "op4_maxscore": op4_maxscore,
