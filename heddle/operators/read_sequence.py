@@ -163,12 +163,12 @@ def _node(node: Node, parent: DataFrame | None, parent_name: str | None) -> Data
         first = F.row_number().over(Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy(*[f"__{c}" for c in order] or [F.lit(0)], F.to_json("__parent")))
         bound = bound.withColumn("__n", first).where("__n = 1").drop("__n")
     bound = bound.withColumn("invocation", F.xxhash64(*[F.col(f"__k_{k}") for k in keys], F.to_json("__parent")))
-    match = [F.col(f"__k_{k}") == items[k] for k in keys]
-    joined = bound.join(items, match, "left" if node.kind == "GET" else "inner")
+    child = items.select(*[F.col(f"`{c}`").alias(f"__i_{c}") for c in items.columns])  # a node may read its parent's relation
+    joined = bound.join(child, [F.col(f"__k_{k}") == F.col(f"__i_{k}") for k in keys], "left" if node.kind == "GET" else "inner")
     if node.limit:
-        w = Window.partitionBy("invocation").orderBy(*node.relation.key)
+        w = Window.partitionBy("invocation").orderBy(*[f"__i_{k}" for k in node.relation.key])
         joined = joined.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= node.limit).drop("__n")
-    shown = [F.coalesce(items[c], F.col(f"__k_{c}")).alias(c) if c in keys and node.kind == "GET" else items[c] for c in items.columns]
+    shown = [F.coalesce(f"__i_{c}", f"__k_{c}").alias(c) if c in keys and node.kind == "GET" else F.col(f"__i_{c}").alias(c) for c in items.columns]
     return joined.select(*shown, "invocation", "__parent")
 
 
@@ -176,7 +176,7 @@ def one(rows: DataFrame, missing: str = "ERROR") -> DataFrame:
     """ONE cardinality: fails on more than one row, and on none if missing is ERROR."""
     n = F.count("*").over(Window.partitionBy(F.lit(0)))
     own = rows.limit(2).withColumn("__n", n)
-    own = own.withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one value"))).otherwise(F.col("__n"))).drop("__n")
+    own = own.where(F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one value"))).otherwise(True)).drop("__n")
     if missing == "ERROR" and own.isEmpty():
         raise SequenceError("no value")
     return own
@@ -205,4 +205,5 @@ def mapped(parent: DataFrame, child: Relation, parent_column: str, indexer: int
     own = child.items
     for k, v in (constant or {}).items():
         own = own.where(F.col(k) == F.lit(v))
-    return parent.withColumn("__v", value).join(own, F.col("__v") == own[child.hash_key]).drop("__v")
+    renamed = own.withColumn("__h", F.col(child.hash_key))
+    return parent.withColumn("__v", value).join(renamed, F.col("__v") == F.col("__h")).drop("__v", "__h")

@@ -30,8 +30,8 @@ class WriteError(ValueError):
 def check_distinct(requests: DataFrame, key: list[str]) -> DataFrame:
     """requests, failing when run if a key occurs twice."""
     w = Window.partitionBy(*key)
-    n = F.count("*").over(w)
-    return requests.withColumn("__n", n).withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.lit("two requests on one item"))).otherwise(F.col("__n"))).drop("__n")
+    single = F.when(F.col("__n") > 1, F.raise_error(F.lit("two requests on one item"))).otherwise(True)  # a filter, which no pruning removes
+    return requests.withColumn("__n", F.count("*").over(w)).where(single).drop("__n")
 
 
 def latest_requests(requests: DataFrame, key: list[str], seq: str) -> DataFrame:
