@@ -5,14 +5,16 @@ set; only classes are compared. Signatures (``BANDS`` x ``ROWS`` coordinates fro
 permutations) are cut into bands; classes that share a band key are candidates. With 32
 bands of 4 rows a pair at similarity 0.8 is missed with probability 5e-8 (0.85: 5e-11).
 
-No bucket is expanded into all its pairs. Each class is first verified against the
-bucket's centres (its smallest and its largest class). Then links are followed to
-components, and only buckets that still hold several components go on: their classes
-outside the bucket's main component are verified against every class of another
-component, less those that set sizes or the triangle inequality (1 - Jaccard is a
-metric; both distances to the bucket's centre are known) rule out. Every candidate pair
-is thus verified on full sets, ruled out exactly, or already connected, so no link
-between different texts is lost.
+No bucket is expanded into all its pairs. Each bucket has one centre, the class with the
+most company in all its buckets, and each member x is verified against its centre c on
+full sets. With A_x = x - c and R_x = c - x, a pair (x, y) of a bucket that is not joined
+through the centre has a member, say x, below the threshold t with c, and it can only be
+linked in one of two ways, both found exactly:
+  1. x and y share added shingles: at least a = (t (|y| + |A_x|) - |x n c|) / (1 + t) of
+     them (and one), so the rarest they share is among the |A| - a + 1 rarest of both;
+  2. they share none: then t (|y| + |A_x|) <= |x n c|, a bound on |y| just below |c|.
+These pairs are verified too, unless they are in one component already. So no link
+between different texts is lost, and a bucket of n near copies costs about n pairs.
 
 Null or empty texts, or texts of white space, have an empty set and no links. Fewer
 words than a shingle: the whole sequence is one shingle. Repeated rows fall into one
@@ -21,11 +23,12 @@ class. Rows without doc_id take part; a component's id is its smallest non-null
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm import shingles as S
+from heddle.llm.chunks import slices
 from heddle.llm.common import materialise
 from heddle.llm.components import components
 
@@ -37,30 +40,70 @@ BROADCAST_ROWS = 100_000
 def described(text: Column) -> Column:
     """Struct: n_shingles, the set's two keys, band keys (none for an empty set)."""
 
-    @F.pandas_udf("n_shingles long, set_a long, set_b long, bands array<long>")
-    def describe(texts: pd.Series) -> pd.DataFrame:
-        sets = [S.shingle_set(h, WIDTH) for h in S.word_hashes(texts.tolist())]
-        bands = S.band_keys(S.circulant_signatures(sets, BANDS * ROWS), ROWS)
-        keys = [S.set_keys(s) for s in sets]
-        return pd.DataFrame({"n_shingles": [len(s) for s in sets], "set_a": [k[0] for k in keys], "set_b": [k[1] for k in keys], "bands": [b if len(s) else [] for b, s in zip(bands, sets, strict=True)]})
+    @F.arrow_udf("n_shingles long, set_a long, set_b long, bands array<long>")
+    def describe(texts: pa.Array) -> pa.Array:
+        done = []
+        for part in slices(texts, 4_000_000):
+            sets = [S.shingle_set(h, WIDTH) for h in S.word_hashes(part)]
+            bands = S.band_keys(S.circulant_signatures(sets, BANDS * ROWS), ROWS)
+            keys = [S.set_keys(s) for s in sets]
+            none = bands[0][:0]
+            columns = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [b if len(s) else none for b, s in zip(bands, sets, strict=True)]]
+            done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["n_shingles", "set_a", "set_b", "bands"]))
+        return pa.concat_arrays(done)
 
     return describe(text)
 
 
 def full_set(text: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def shingled(texts: pd.Series) -> pd.Series:
-        return pd.Series([S.shingle_set(h, WIDTH).view("int64") for h in S.word_hashes(texts.tolist())], dtype=object)
+    @F.arrow_udf("array<long>")
+    def shingled(texts: pa.Array) -> pa.Array:
+        done = [pa.array([S.shingle_set(h, WIDTH).view("int64") for h in S.word_hashes(part)], pa.list_(pa.int64())) for part in slices(texts, 4_000_000)]
+        return pa.concat_arrays(done)
 
     return shingled(text)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """pairs (a, b) with inter, total (of the union) and linked: 100 * inter >= similarity * total."""
-    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
-    return sized.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("total")).withColumn("linked", 100 * F.col("inter") >= similarity * F.col("total"))
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (x, y) with the sizes of both sets, their intersection, and x without y."""
+    left = sets.select(F.col("cls").alias("x"), F.col("s").alias("sx"))
+    right = sets.select(F.col("cls").alias("y"), F.col("s").alias("sy"))
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.array_except("sx", "sy").alias("added"))
+    return both.withColumn("inter", F.col("nx") - F.size("added"))
+
+
+def _linked(similarity: int) -> Column:
+    return 100 * F.col("inter") >= similarity * (F.col("nx") + F.col("ny") - F.col("inter"))
+
+
+def _residual(checked: DataFrame, reached: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (x, y) beside the stars that may be linked and are in different components."""
+    t = similarity / 100
+    comp = reached.withColumnRenamed("node", "cls")
+    placed = checked.join(comp.select(F.col("cls").alias("x"), "component"), "x", "left").select("x", F.col("y").alias("c"), "nx", "ny", "inter", "added", "linked", F.coalesce("component", "x").alias("comp"))
+    placed = materialise(placed, "placed")
+    # 1: additions shared by classes of one centre, rarest first. If x and y share a of them,
+    # the rarest shared one stands at place |A| - a + 1 or before in both.
+    shingle = placed.select("c", "x", "nx", "comp", "linked", "inter", F.size("added").alias("na"), F.explode("added").alias("e"))
+    # an addition within one component links nothing
+    shared = shingle.groupBy("c", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1")
+    ranked = shingle.join(shared, ["c", "e"], "left").withColumn("at", F.row_number().over(Window.partitionBy("c", "x").orderBy(F.coalesce("df", F.lit(1)), "e"))).where("lo != hi")
+    ranked = materialise(ranked.select("c", "e", "x", "nx", "comp", "linked", "inter", "na", "at"), "ranked")
+    own = placed.where(~F.col("linked"))
+    added = F.size("added")
+    least = lambda n, na, inter: F.ceil((t * (F.col(n) + F.col(na)) - F.col(inter)) / (1 + t) - 1e-9)
+    need = F.greatest(F.lit(1), least("yn", "xa", "xi"), least("xn", "ya", "yi"))
+    fits = (F.col("xn") >= t * F.col("yn") - 1e-9) & (F.col("yn") >= t * F.col("xn") - 1e-9) & (F.col("xc") != F.col("yc"))
+    side = lambda k: ["c", "e", F.col("x").alias(k), F.col("nx").alias(f"{k}n"), F.col("comp").alias(f"{k}c"), F.col("inter").alias(f"{k}i"), F.col("na").alias(f"{k}a"), F.col("at").alias(f"{k}t")]
+    first = ranked.where(~F.col("linked")).select(side("x")).join(ranked.select(side("y")), ["c", "e"]).where(fits & (F.col("xt") <= F.col("xa") - need + 1) & (F.col("yt") <= F.col("ya") - need + 1)).select("x", "y")
+    # 2: sizes just below the centre's
+    most = F.floor(F.col("inter") / t - added + 1e-9)
+    lowest = F.ceil(t * F.col("nx") - 1e-9)
+    small = own.where(lowest <= F.least(most, F.col("ny"))).select("c", "x", F.col("nx").alias("xn"), F.col("comp").alias("xc"), F.explode(F.sequence(lowest, F.least(most, F.col("ny")))).alias("yn"))
+    second = small.join(placed.select("c", F.col("x").alias("y"), F.col("nx").alias("yn"), F.col("comp").alias("yc")), ["c", "yn"]).where(fits).select("x", "y")
+    pairs = first.unionByName(second).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    done = checked.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    return pairs.join(done, ["x", "y"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,10 +117,13 @@ def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id",
     # a class's first row: smallest doc_id (null last), then uid; it stands for the class
     classes = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid")).alias("least")).select("cls", "least", F.col("least.uid").alias("uid"))
     classes = materialise(classes, "classes")
-    banded = full.join(classes.select("uid"), "uid", "left_semi").select("cls", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    banded = full.join(classes.select("uid"), "uid", "left_semi").select("cls", F.explode("bands").alias("bucket"))
     banded = materialise(banded, "banded")
-    shared = banded.groupBy("bucket").agg(F.min("cls").alias("c"), F.max("cls").alias("c2"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = materialise(banded.join(shared, "bucket"), "members")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(banded.join(sizes, "bucket"), "members")
+    company = members.groupBy("cls").agg(F.sum("size").alias("company"))
+    centres = members.join(company, "cls").groupBy("bucket").agg(F.max(F.struct("company", "cls")).alias("c")).select("bucket", F.col("c.cls").alias("c"))
+    star = members.join(centres, "bucket").where("cls != c").select(F.col("cls").alias("x"), F.col("c").alias("y")).distinct()
 
     # the classes that share a bucket, with their full sets
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("uid", "cls")
@@ -85,31 +131,10 @@ def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id",
     few = wanted.count() <= BROADCAST_ROWS
     sets = materialise(source.select("uid", "text").join(F.broadcast(wanted) if few else wanted, "uid").select("cls", full_set(F.col("text")).alias("s")), "sets")
 
-    fits = lambda x, y: (100 * F.least(x, y) >= similarity * F.greatest(x, y))
-    star = members.where("cls != c").select("cls", "c").unionByName(members.where("cls != c2").select("cls", F.col("c2").alias("c")))
-    star = star.select(F.greatest("cls", "c").alias("a"), F.least("cls", "c").alias("b")).distinct()
-    checked = materialise(_verified(star, sets, similarity), "checked")
-    links = checked.where("linked").select("a", "b")
+    checked = materialise(_compared(star, sets).withColumn("linked", _linked(similarity)), "checked")
+    links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     reached = materialise(components(links), "reached")
-
-    # buckets that still hold several components
-    placed = members.join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    mixed = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    mixed = mixed.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("comps")).where("comps > 1")
-    near = checked.select(F.col("a").alias("cls"), F.col("b").alias("c"), "inter", "total").unionByName(checked.select(F.col("b").alias("cls"), F.col("a").alias("c"), "inter", "total"))
-    placed = materialise(
-        placed.join(mixed.drop("comps"), "bucket").join(near, ["cls", "c"], "left").withColumn("away", F.when(F.col("cls") == F.col("c"), 0.0).otherwise(1 - F.col("inter") / F.col("total"))).select("bucket", "cls", "n", "c", "c2", "comp", "main", "size", "away"),
-        "placed",
-    )
-    # a bucket's classes outside its main component meet all its others, spread over parts of about 1000
-    parts = F.ceil(F.col("size") / 1000).cast("int")
-    outside = placed.where("comp != main").select("bucket", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("away").alias("xd"), F.col("main"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    every = placed.select("bucket", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), F.col("away").alias("yd"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
-    left = outside.join(every, ["bucket", "part"]).where(
-        (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") > F.col("y"))) & fits(F.col("xn"), F.col("yn")) & (F.abs(F.col("xd") - F.col("yd")) <= 1 - similarity / 100 + 1e-9)
-    )
-    left = left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialise(_verified(left, sets, similarity).where("linked").select("a", "b"), "more")
+    more = materialise(_compared(_residual(checked, reached, similarity), sets).where(_linked(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")), "more")
     if not more.isEmpty():
         reached = materialise(components(links.unionByName(more)), "reached")
 
@@ -121,3 +146,12 @@ def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce(F.col("uid") == F.col("first_uid"), F.lit(True)).alias("first"),
     )
+
+
+def deduplicate(docs: DataFrame, similarity: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each group, with the columns they came with."""
+    own = "__heddle_uid"
+    verdict = near_duplicates(docs, similarity, id_col=id_col, text_col=text_col)
+    dropped = materialise(verdict.where(~F.col("first")).select(F.col("uid").alias(own)), "dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return docs.withColumn(own, F.monotonically_increasing_id()).join(F.broadcast(dropped) if few else dropped, own, "left_anti").drop(own)

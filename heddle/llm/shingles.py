@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+from heddle.llm.chunks import coded
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -16,19 +19,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; nothing else is folded."""
-    return text.encode("utf-8").lower().split() if text else []
-
-
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """The hashes of each text's words; every distinct word of the batch is hashed once."""
-    split = [words(t) for t in texts]
-    flat = [w for row in split for w in row]
-    ends = np.cumsum([len(row) for row in split])
-    codes, distinct = pd.factorize(np.array(flat + [None], object)[:-1]) if flat else (np.zeros(0, np.int64), [])
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-    return np.split(hashes[codes] if len(distinct) else np.zeros(0, np.uint64), ends[:-1]) if split else []
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's words with A-Z in lower case; every distinct word is hashed once."""
+    codes, ends, distinct = coded(pc.ascii_lower(texts))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+    return np.split(hashes[codes] if len(codes) else np.zeros(0, np.uint64), ends[:-1]) if len(ends) else []
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
