@@ -106,12 +106,17 @@ def _residual(checked: DataFrame, reached: DataFrame, similarity: int) -> DataFr
     return pairs.join(done, ["x", "y"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
     """One row per document: uid, doc_id, n_shingles, component_id, first (one row of each component is).
 
-    uid numbers the rows of ``docs`` as F.monotonically_increasing_id() does.
+    Row numbers must not change when rows are read again, so without ``uid_col`` (a unique
+    column of a stored table) ids and texts are first written with numbers of their own.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col).alias("text")
+    if uid_col is None:
+        source = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text), "documents")
+    else:
+        source = docs.select(F.col(uid_col).alias("uid"), F.col(id_col).alias("doc_id"), text)
     rows = materialise(source.select("uid", "doc_id", described(F.col("text")).alias("d")).select("uid", "doc_id", "d.*", F.xxhash64("d.n_shingles", "d.set_a", "d.set_b").alias("cls")), "rows")
     full = rows.where("n_shingles > 0")
     # a class's first row: smallest doc_id (null last), then uid; it stands for the class
@@ -151,7 +156,8 @@ def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id",
 def deduplicate(docs: DataFrame, similarity: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each group, with the columns they came with."""
     own = "__heddle_uid"
-    verdict = near_duplicates(docs, similarity, id_col=id_col, text_col=text_col)
+    stored = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "documents")
+    verdict = near_duplicates(stored, similarity, id_col=id_col, text_col=text_col, uid_col=own)
     dropped = materialise(verdict.where(~F.col("first")).select(F.col("uid").alias(own)), "dropped")
     few = dropped.count() <= BROADCAST_ROWS
-    return docs.withColumn(own, F.monotonically_increasing_id()).join(F.broadcast(dropped) if few else dropped, own, "left_anti").drop(own)
+    return stored.join(F.broadcast(dropped) if few else dropped, own, "left_anti").drop(own)
