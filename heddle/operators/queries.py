@@ -504,3 +504,95 @@ def settle(spark, d):
     claimed = queues.claim(pending, "worker-1", 5000, 1000, 1_000_000)
     outcomes = claimed.select("delivery_id", "owner", "generation", (F.col("publication_id") % 2 == 0).alias("ok"))
     return queues.settle(claimed, outcomes, 5000, 250, 3).select("publication_id", "subscription_id", "status", "due_at")
+
+
+# -- further forms -----------------------------------------------------------------------------------------
+
+
+@query("a3_set_add", "SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS priorities FROM orders GROUP BY o_custkey")
+def set_add(spark, d):
+    o = t(spark, d, "orders")
+    sets = lambda odd, name: o.where(F.col("o_orderkey") % 2 == odd).groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias(name))
+    state = sets(0, "priorities")
+    union = F.array_union(F.coalesce("priorities", F.array().cast("array<string>")), F.col("new.added"))
+    after, _ = writes.update_columns(state, sets(1, "added"), ["o_custkey"], {"priorities": union})
+    return after.select("o_custkey", F.array_join(F.array_sort("priorities"), ",").alias("priorities"))
+
+
+@query("w3_general_update", """SELECT c_custkey, CAST(c_custkey % 2 = 0 AS BOOLEAN) AS accepted, CASE WHEN c_custkey % 2 = 0 THEN '{"n":{"N":"' || (c_custkey + 2) || '"}}' END AS returned FROM customer""")
+def general_update(spark, d):
+    own = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("pk"), "c_custkey")
+    state = own.select("pk", F.to_json(F.struct(F.struct(F.col("pk").alias("S")).alias("pk"), F.struct(F.col("pk").alias("N")).alias("n"), F.struct((F.col("c_custkey") % 2).cast("string").alias("N")).alias("odd"))).alias("item"))
+    rows = writes.update_items(state, own.select("pk"), ["pk"], "SET n = n + :two", bound={":two": N(2), ":zero": N(0)}, condition="odd = :zero", returns="UPDATED_NEW")
+    return rows.select(F.col("pk").cast("long").alias("c_custkey"), "accepted", "returned")
+
+
+@query("f13_item_size", "SELECT c_custkey, CAST(4 + octet_length(encode(c_name)) + 3 + 1 AS BIGINT) AS size FROM customer")
+def item_size(spark, d):
+    from heddle.functions import values
+
+    item = F.to_json(F.struct(F.struct(F.col("c_name").alias("S")).alias("name"), F.struct(F.lit(True).alias("BOOL")).alias("yes")))
+    return t(spark, d, "customer").select("c_custkey", values.item_size_column(item).alias("size"))
+
+
+@query("l6_last_key", "SELECT count(*) AS scanned, max(o_orderkey) AS last_key FROM (SELECT o_orderkey FROM orders WHERE o_custkey = 10 ORDER BY o_orderkey LIMIT 4)")
+def last_key(spark, d):
+    page = reads.query(orders_of(spark, d), "o_custkey = :c", bound={":c": N(10)}, limit=4).page()
+    return spark.createDataFrame([(page.scanned, (page.last_key or {}).get("o_orderkey"))], "scanned long, last_key long")
+
+
+@query("r6_selector", "SELECT o_totalprice AS value FROM orders WHERE o_custkey = 10 ORDER BY o_orderkey LIMIT 1 OFFSET 2")
+def selector(spark, d):
+    from heddle.operators.read_sequence import select
+
+    return select(reads.query(orders_of(spark, d), "o_custkey = :c", bound={":c": N(10)}).rows(), "$.Query.Items[2].o_totalprice", ["o_orderkey"])
+
+
+@query("t4_iterator", "SELECT event_id, user_id FROM events WHERE event_id > 9000")
+def iterator(spark, d):
+    return history.start_at(t(spark, d, "events"), "event_id", "AFTER_SEQUENCE_NUMBER", 9000).select("event_id", "user_id")
+
+
+@query("t6_keys_only_view", "SELECT user_id, event_id, CASE WHEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL THEN 'INSERT' ELSE 'MODIFY' END AS event_name FROM events")
+def keys_only_view(spark, d):
+    return history.view(history.images(t(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"]), "KEYS_ONLY")
+
+
+@query("t8_cursor", "SELECT event_id FROM events WHERE event_id > 50 ORDER BY event_id LIMIT 20")
+def cursor(spark, d):
+    rows, _ = history.read_cursor(t(spark, d, "events").select("event_id"), "event_id", 50, 20)
+    return spark.createDataFrame(rows, "event_id long")
+
+
+@query("t10_pressure", None)
+def load_pressure(spark, d):
+    loads = t(spark, d, "events").groupBy((F.col("user_id") % 8).alias("part"), F.floor(F.col("event_id") / 100).alias("at")).agg(F.sum("value").alias("load"))
+    return history.pressure(loads, "part", "at", "load", 500.0)
+
+
+@query("b3_build_states", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'BLOCKED' WHEN event_id % 5 = 0 THEN 'SCANNING' WHEN event_id % 3 = 0 THEN 'ACTIVE' ELSE 'CATCHING_UP' END AS phase FROM events")
+def build_phases(spark, d):
+    builds = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, 9).otherwise(1).alias("cursor"), F.lit(0).alias("low"), F.lit(9).alias("high"), (F.col("event_id") % 5 != 0).alias("scanned"), F.lit(9).alias("projected_through"), (F.col("event_id") % 7 == 0).cast("int").alias("conflicts"))
+    return indexes.build_states(builds).select("event_id", "phase")
+
+
+@query("b7_ttl_index", "SELECT event_id, CAST(event_id * 3 AS BIGINT) AS ttl_seconds FROM events WHERE event_id % 2 = 0")
+def ttl_index(spark, d):
+    items = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 3.0).otherwise(F.col("event_id") + 0.5).alias("ttl"))
+    return indexes.ttl_index(items, "ttl").select("event_id", "ttl_seconds")
+
+
+@query("b11_orphans", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def orphans(spark, d):
+    owners = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return indexes.orphans(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), owners, ["l_orderkey"])
+
+
+@query("t25_notification", """SELECT publication_id, '{"Type":"Notification","MessageId":"' || publication_id || '","TopicArn":"' || e.event_type || '","Message":"m' || e.event_id || '"}' AS body FROM """ + FAN_OUT + """ f JOIN events e ON e.event_id = f.publication_id WHERE publication_id <= 100""")
+def notifications(spark, d):
+    publications, subscriptions = topic_tables(spark, d)
+    publications = publications.where("publication_id <= 100")
+    deliveries = queues.fan_out(publications, subscriptions)
+    texts = publications.select(F.col("publication_id"), F.col("topic"), F.concat(F.lit("m"), F.col("publication_id").cast("string")).alias("message"), F.lit(False).alias("raw"))
+    bodies = queues.notification(deliveries, texts)
+    return bodies.join(deliveries.select("delivery_id", "publication_id"), "delivery_id").select("publication_id", "body")

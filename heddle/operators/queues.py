@@ -130,5 +130,5 @@ def settle(deliveries: DataFrame, outcomes: DataFrame, now: int, base_ms: int, a
 def notification(deliveries: DataFrame, publications: DataFrame) -> DataFrame:
     """The body of every delivery: the message as it is if raw, else a JSON notification."""
     joined = deliveries.join(publications, "publication_id")
-    body = F.to_json(F.struct(F.lit("Notification").alias("Type"), F.col("publication_id").alias("MessageId"), F.col("topic").alias("TopicArn"), F.col("message").alias("Message")))
+    body = F.to_json(F.struct(F.lit("Notification").alias("Type"), F.col("publication_id").cast("string").alias("MessageId"), F.col("topic").alias("TopicArn"), F.col("message").alias("Message")))
     return joined.select("delivery_id", F.when(F.col("raw"), F.col("message")).otherwise(body).alias("body"))
