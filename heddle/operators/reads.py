@@ -165,7 +165,7 @@ class Range:
     def rows(self) -> DataFrame:
         own = self.admitted()
         if self.filter is not None:
-            own = own.where(Compiler(own.schema, self.table.sets).condition(self.filter))
+            own = own.where(Compiler(own.schema, self.table.sets).predicate(self.filter))
         if self.select == "COUNT":
             return own.agg(F.count("*").alias("count"))
         if self.projection:
@@ -248,7 +248,7 @@ def whole_scan(table: Relation, filter: str | None = None, names=None, bound=Non
     """A scan without pages or order: one pass, no sort, the filter pushed down where it can be."""
     if not filter:
         return table.items
-    return table.items.where(Compiler(table.items.schema, table.sets).condition(E.condition(filter, names, bound)))
+    return table.items.where(Compiler(table.items.schema, table.sets).predicate(E.condition(filter, names, bound)))
 
 
 def source_page(own: Range) -> DataFrame:

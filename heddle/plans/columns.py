@@ -174,6 +174,26 @@ class Compiler:
             return self._call(node)
         raise TypeError(node)
 
+    def predicate(self, node) -> Column:
+        """For WHERE, where null and false are one: leaves outside any NOT stay bare, so they reach the scan."""
+        if isinstance(node, Both):
+            left, right = self.predicate(node.left), self.predicate(node.right)
+            return left & right if node.op == "AND" else left | right
+        if isinstance(node, Compare) and node.op != "<>":
+            return self._equal(node.left, node.right) if node.op == "=" else self._ordered(node.left, node.right, node.op)
+        if isinstance(node, Between):
+            return self._ordered(node.subject, node.low, ">=") & self._ordered(node.subject, node.high, "<=")
+        if isinstance(node, In):
+            out = self._equal(node.subject, node.members[0])
+            for member in node.members[1:]:
+                out = out | self._equal(node.subject, member)
+            return out
+        if isinstance(node, Call) and node.name == "begins_with":
+            found, operand = self.attribute(node.path.path), self._side(node.operand)
+            if found and operand and found[1] == operand[1] == "S" and isinstance(found[2], T.StringType):
+                return found[0].startswith(operand[0])
+        return self.condition(node)
+
     def _call(self, node: Call) -> Column:
         no = F.lit(False)
         found = self.attribute(node.path.path)
