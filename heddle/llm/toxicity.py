@@ -8,8 +8,8 @@ leaves few weights, so the model is a short list that a closure carries to execu
 
 Labelled rows used: at most ``max_rows``, those with the smallest hash of doc_id; one task
 trains on them. Scoring reads every whole text and no other column. Null and empty texts
-have no features and score as the intercept. Repeated rows are scored each. A label table
-without usable rows gives intercept 0 and thus 0.5; labels that are null are not used.
+have no features and score as the intercept. Repeated rows are scored each. Without usable labelled rows there are no weights and the intercept is
+``UNTRAINED``, so that an untrained model rejects nothing; labels that are null are not used.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ BITS = 20
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”«»„…"
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 0.1, 3
 MAX_ROWS = 16_000
+UNTRAINED = -2.0
 
 
 def _coordinates(h: np.ndarray, kind: int) -> np.ndarray:
@@ -129,11 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             lists = batch.column(2)
             flat, edges = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             x += np.split(flat, (edges - edges[0])[1:-1]) if len(lists) else []
-        at, w, intercept = train(x, np.array(y))
+        at, w, intercept = train(x, np.array(y)) if y else (np.zeros(0, np.int32), np.zeros(0), UNTRAINED)
         yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.list_(pa.int32())), "w": pa.array([w], pa.list_(pa.float64())), "intercept": [intercept]})
 
     model = rows.coalesce(1).mapInArrow(one, "at array<int>, w array<double>, intercept double").first()
-    return (np.array(model["at"], np.int32), np.array(model["w"]), model["intercept"]) if model else (np.zeros(0, np.int32), np.zeros(0), 0.0)
+    return (np.array(model["at"], np.int32), np.array(model["w"]), model["intercept"]) if model else (np.zeros(0, np.int32), np.zeros(0), UNTRAINED)
 
 
 def score(text: Column, model: tuple[np.ndarray, np.ndarray, float]) -> Column:

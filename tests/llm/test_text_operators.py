@@ -106,7 +106,7 @@ def test_toxicity_learns_words_it_was_shown(spark):
     got = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.score(F.col("text"), model).alias("s")).collect()}
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows) and got[1002] >= 0.5 and got[1000] == got[1001] < 0.5
     nothing = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert docs.select(toxicity.score(F.col("text"), nothing).alias("s")).first().s == 0.5
+    assert docs.select(toxicity.score(F.col("text"), nothing).alias("s")).first().s < 0.5
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><a href="/">Site</a><nav><ul><li><a>Home</a><li><a>News</a></ul></nav></header>
