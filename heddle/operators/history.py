@@ -25,7 +25,11 @@ def current(log: DataFrame, key: list[str], seq: list[str], deleted: Column | No
 
 
 def images(log: DataFrame, key: list[str], seq: list[str], deleted: Column | None = None) -> DataFrame:
-    """key, seq, event_name, old, new: INSERT, MODIFY or REMOVE from successive snapshots."""
+    """key, seq, event_name, old, new: INSERT, MODIFY or REMOVE from successive snapshots.
+
+    The window needs an item's versions in one task; they spill, and an item's versions are
+    bounded by retention. For a log of a few enormous items use ``images_by_bucket``.
+    """
     columns = [c for c in log.columns if c not in key and c not in seq]
     new = F.struct(*[F.col(f"`{c}`") for c in columns])
     shown = log.withColumn("new", F.when(~deleted, new) if deleted is not None else new)
@@ -34,6 +38,23 @@ def images(log: DataFrame, key: list[str], seq: list[str], deleted: Column | Non
     return own.where("old IS NOT NULL OR new IS NOT NULL").select(*key, *seq, name.alias("event_name"), "old", "new")
 
 
+def images_by_bucket(log: DataFrame, key: list[str], seq: str, deleted: Column | None = None, width: int = 1_000_000) -> DataFrame:
+    """``images`` for items with very many versions: windows over (key, seq div width) only.
+
+    The first version of a bucket takes its predecessor from the last version of the key's
+    previous bucket, found over one row a bucket.
+    """
+    columns = [c for c in log.columns if c not in [*key, seq]]
+    new = F.struct(*[F.col(f"`{c}`") for c in columns])
+    own = log.withColumn("new", F.when(~deleted, new) if deleted is not None else new).withColumn("__b", F.floor(F.col(seq) / width))
+    inner = own.withColumn("__row", F.struct("new")).withColumn("__old", F.lag("__row").over(Window.partitionBy(*key, "__b").orderBy(seq)))
+    lasts = own.groupBy(*key, "__b").agg(F.max_by(F.struct("new"), seq).alias("__last"))
+    before = lasts.withColumn("__before", F.lag("__last").over(Window.partitionBy(*key).orderBy("__b"))).drop("__last")
+    joined = inner.join(before, [*key, "__b"]).withColumn("old", F.coalesce("__old", "__before")["new"])
+    name = F.when(F.col("old").isNull(), "INSERT").when(F.col("new").isNull(), "REMOVE").otherwise("MODIFY")
+    return joined.where("old IS NOT NULL OR new IS NOT NULL").select(*key, seq, name.alias("event_name"), "old", "new")
+
+
 def view(records: DataFrame, kind: str) -> DataFrame:
     """A stream view; the event name is chosen before images are hidden."""
     if kind not in VIEWS:

@@ -149,6 +149,14 @@ def test_cursor_and_clock(spark):
     assert history.advance_clock(10, (5, 3)) == (10, 0) and history.advance_clock(5, (7, 3), (7, 9)) == (7, 10)
 
 
+def test_bucketed_images_equal_images(spark):
+    rows = [(k, i, f"v{i}", i % 4 == 0) for k in range(3) for i in range(k, 40, k + 1)]
+    log = spark.createDataFrame(rows, "k int, seq long, v string, gone boolean")
+    want = history.images(log, ["k"], ["seq"], F.col("gone"))
+    got = history.images_by_bucket(log, ["k"], "seq", F.col("gone"), width=7)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_lineage_split_once(spark):
     lanes = spark.createDataFrame([("a", None, False, 0, 100)], "lane string, parent string, sealed boolean, low long, high long")
     split = history.lineage_split(lanes, "a", 40)
