@@ -22,8 +22,9 @@ from heddle.llm.chunks import coded, slices
 
 #: Stems a worker keeps; a bound on memory, not on what is tokenised.
 CACHE = 400_000
-PUNCTUATION = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+STEM_AND_TAIL = r"(?s)^(?P<stem>.*[a-z])(?P<tail>[!-/:-@\[-`{-~]*)$"
 JOINED = 500
+PART_BYTES = 8_000_000
 
 
 class Words:
@@ -59,25 +60,29 @@ class Words:
         texts = pc.fill_null(texts, "")
         special = pc.match_substring(texts, "<|")
         codes, ends, chunks = coded(pc.if_else(special, texts, pc.ascii_lower(texts)))
-        stems = pc.ascii_rtrim(chunks, characters=PUNCTUATION)
-        split = pc.and_(pc.match_substring_regex(stems, "[a-z]$"), pc.invert(pc.match_substring(chunks, "<|")))
-        stems = pc.if_else(split, stems, chunks).to_pylist()
-        tails = [c[len(s) :] for c, s in zip(chunks.to_pylist(), stems, strict=True)]
+        halves = pc.extract_regex(chunks, STEM_AND_TAIL)
+        split = pc.and_(halves.is_valid(), pc.invert(pc.match_substring(chunks, "<|")))
+        stems = pc.if_else(split, halves.field("stem"), chunks).dictionary_encode()
+        tails = pc.fill_null(pc.if_else(split, halves.field("tail"), ""), "").dictionary_encode()
+        names = [*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        fresh = [p for p in {*stems, *tails} if p not in cache]
+        cache[""] = b""
+        fresh = list({p for p in names if p not in cache})
         if fresh:
             self.learn(fresh)
-        parts = [cache[s] + cache[t] if t else cache[s] for s, t in zip(stems, tails, strict=True)]
+        parts = [cache[p] for p in names]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
         ids = np.frombuffer(b"".join(parts), "<u4")
-        counts = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        own = [x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (stems, tails)]
+        entries = np.stack([own[0][codes], own[1][codes] + len(stems.dictionary)], 1).ravel() if len(codes) else np.zeros(0, np.int64)
+        counts = sizes[entries]
         stops = np.concatenate(([0], np.cumsum(counts)))
-        flat = ids[np.repeat(starts[codes] - stops[:-1], counts) + np.arange(stops[-1])] if len(codes) else ids[:0]
+        flat = ids[np.repeat(starts[entries] - stops[:-1], counts) + np.arange(stops[-1])] if len(entries) else ids[:0]
         data, tail = flat.tobytes(), b"" if end is None else np.array([end], "<u4").tobytes()
-        edges = (np.concatenate(([0], stops[ends])) * 4).tolist()
+        edges = (np.concatenate(([0], stops[2 * ends])) * 4).tolist()
         return [data[a:b] + tail for a, b in zip(edges, edges[1:], strict=False)]
 
 
@@ -88,7 +93,7 @@ def words_of(tokenizer_file: str) -> Words:
 
 def pack(texts: pa.Array, tokenizer_file: str, end: int | None) -> list[bytes]:
     own = words_of(tokenizer_file)
-    return [row for part in slices(texts) for row in own.pack(part, end)]
+    return [row for part in slices(texts, PART_BYTES) for row in own.pack(part, end)]
 
 
 def packed_ids(text: Column, tokenizer_file: str, end: int | None) -> Column:
