@@ -1,7 +1,8 @@
 """Training-order shards: token sequences at the places a keyed permutation gives them.
 
-All documents, in order of doc_id, form one stream of token ids (each document ends with
-the end id). Sequence j is the stream's ids [j * S, (j + 1) * S). A keyed Feistel network
+All documents form one stream of token ids (each document ends with the end id): they are
+dealt to PARTS x ``partitions`` parts by a hash of doc_id and text, and lie in order of doc_id in
+each, so the stream does not depend on how the input is stored. Sequence j is the stream's ids [j * S, (j + 1) * S). A keyed Feistel network
 over the smallest a x b grid that holds n sequences, walked until it falls below n, maps
 j to its global slot, without any table of the permutation. Shard k holds the slots
 [k * R, (k + 1) * R): records of a fixed stride (S uint16 ids, then one newline byte), so
@@ -14,8 +15,8 @@ its own files and a shard appears whole or not at all. ``write`` with ``resume=T
 leaves shards of the right size as they are and writes the others from the tokenised
 table in the same folder.
 
-Null and empty texts are one end id. Null doc_ids come first; rows with the same doc_id are
-ordered by a hash of their text; equal rows are interchangeable. An empty table has no
+Null and empty texts are one end id. Null doc_ids come first in a part; rows with the same
+doc_id and text are interchangeable. An empty table has no
 shards. Ids must be below 65536.
 """
 
@@ -27,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from heddle.llm.common import new_path
 from heddle.llm.word_ids import pack
 
 ROUNDS = 6
+#: Parts a task holds, on average: so many even out their sizes.
+PARTS = 8
 
 
 class Permutation:
@@ -67,31 +72,44 @@ class Permutation:
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str, end: int, *, id_col: str, text_col: str, partitions: int) -> DataFrame:
-    """part, start (ids before the row in its part), ids (uint16): the stream, cut by ranges of doc_id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(partitions, "id", "tie").sortWithinPartitions("id", "tie").withColumn("part", F.spark_partition_id()).select("part", "text")
+    """part, start (ids before the row in its part), ids (uint16): the stream, cut by a hash of doc_id and text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = 0
-        for batch in batches:
-            coded = pack(batch.column(1), tokenizer_file, end)
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-            edges = np.cumsum(sizes)
-            ids = np.frombuffer(b"".join(coded), "<u4")
+    @F.arrow_udf("binary")
+    def coded(texts: pa.Array) -> pa.Array:
+        out = []
+        for data in pack(texts, tokenizer_file, end):
+            ids = np.frombuffer(data, "<u4")
             if len(ids) and ids.max() >= 65536:
                 raise ValueError("token ids beyond uint16")
-            data, cuts = ids.astype("<u2").tobytes(), [0, *(edges * 2).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + edges - sizes), pa.array([data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "start", "ids"])
-            start += int(edges[-1]) if len(edges) else 0
+            out.append(ids.astype("<u2").tobytes())
+        return pa.array(out, pa.binary())
 
-    return ranged.mapInArrow(run, "part int, start long, ids binary")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, 0
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            sizes = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+            before = np.cumsum(sizes) - sizes
+            first = np.flatnonzero(np.diff(parts, prepend=-1 if last is None else last))  # rows that begin a part
+            offset = np.zeros(len(parts), np.int64)
+            offset[:] = total
+            for k in first:
+                offset[k:] = -before[k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + offset), batch.column(3)], ["part", "start", "ids"])
+            if len(parts):
+                last, total = parts[-1], int(before[-1] + offset[-1] + sizes[-1])
+
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), coded(F.col(text_col)).alias("ids"))
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("id", "tie"), F.lit(partitions * PARTS)).cast("int")).select("part", "id", "tie", "ids")
+    return dealt.repartition(partitions, "part").sortWithinPartitions("part", "id", "tie").mapInArrow(number, "part int, start long, ids binary")
 
 
 def pieces(stream: DataFrame, offsets: dict[int, int], total: int, key: str, length: int, per_shard: int) -> DataFrame:
-    """shard, slot, at (first id's place in the sequence), ids: every document cut at sequence edges."""
+    """shard, slot, at (first id's place in the sequence), ids (zstd): every document cut at sequence edges."""
     permutation = Permutation(-(-total // length), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress  # the shuffle's own compression is weak on ids
         for batch in batches:
             part, start, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             sizes = np.fromiter(map(len, data), np.int64, len(data)) // 2
@@ -103,7 +121,7 @@ def pieces(stream: DataFrame, offsets: dict[int, int], total: int, key: str, len
             a = np.maximum(first[row], sequence * length)
             b = np.minimum(first[row] + sizes[row], (sequence + 1) * length)
             slot = permutation(sequence) if len(sequence) else sequence
-            cut = [data[r][x:y] for r, x, y in zip(row.tolist(), ((a - first[row]) * 2).tolist(), ((b - first[row]) * 2).tolist(), strict=True)]
+            cut = [squeeze(data[r][x:y]) for r, x, y in zip(row.tolist(), ((a - first[row]) * 2).tolist(), ((b - first[row]) * 2).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array((a - sequence * length).astype(np.int32)), pa.array(cut, pa.binary())], ["shard", "slot", "at", "ids"])
 
     return stream.mapInArrow(run, "shard long, slot long, at int, ids binary")
@@ -116,6 +134,7 @@ def records(cut: DataFrame, length: int, end: int, partitions: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, slot, held = None, None, []
+        restore = zstandard.ZstdDecompressor().decompress
 
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "value"])
@@ -130,7 +149,7 @@ def records(cut: DataFrame, length: int, end: int, partitions: int) -> DataFrame
                         yield out(done)
                         done = []
                 shard, slot = k, s
-                held.append(data)
+                held.append(restore(data))
         if held:
             done.append((shard, _padded(b"".join(held), length, filler)))
         if done:
@@ -163,18 +182,18 @@ def write(
 ) -> dict:
     """Write the shards of one epoch below folder; returns the manifest (also kept as manifest/ there)."""
     spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))  # a part of the manifest: give it to make the same order again
     table, shards = f"{folder}/tokenised", f"{folder}/shards"
     if not resume:
         tokenised(docs, tokenizer_file, end, id_col=id_col, text_col=text_col, partitions=partitions).write.option("compression", "zstd").parquet(table)
     stream = spark.read.schema("part int, start long, ids binary").parquet(table)
-    ends = stream.groupBy("part").agg(F.max(F.col("start") + F.octet_length("ids") / 2).cast("long").alias("n")).orderBy("part").collect()  # a row per partition
+    ends = stream.groupBy("part").agg(F.max(F.col("start") + F.octet_length("ids") / 2).cast("long").alias("n")).orderBy("part").collect()  # a row per part
     offsets, total = {}, 0
     for part, n in ends:
         offsets[part] = total
         total += n
     sequences = -(-total // length)
-    manifest = {"key": key, "length": length, "per_shard": per_shard, "end": end, "tokens": total, "sequences": sequences, "stride": 2 * length + 1, "shards": -(-sequences // per_shard)}
+    manifest = {"key": key, "length": length, "per_shard": per_shard, "end": end, "tokens": total, "sequences": sequences, "partitions": partitions, "stride": 2 * length + 1, "shards": -(-sequences // per_shard)}
     wanted = {k: (min(per_shard, sequences - k * per_shard)) * manifest["stride"] for k in range(manifest["shards"])}
     found = _sizes(spark, shards)
     done = [k for k, size in wanted.items() if [s for _, s in found.get(k, [])] == [size]] if resume else []
