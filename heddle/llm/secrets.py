@@ -188,7 +188,8 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, start (code points before it), length, rule, value, score, is_secret: one row per candidate."""
     trees = trees or forest(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), (F.col(path_col) if path_col else F.lit("")).alias("p"))
-    each = scanned(own, trees, F.col("t"), F.col("p")).select("doc_id", F.explode("__found").alias("x"))
+    # explode() would have its inferred filter evaluate the whole scan once more
+    each = scanned(own, trees, F.col("t"), F.col("p")).select("doc_id", F.explode_outer("__found").alias("x")).where("x IS NOT NULL")
     return each.select("doc_id", "x.start", F.length("x.value").cast("long").alias("length"), "x.rule", "x.value", "x.score", (F.col("x.score") >= 0.5).alias("is_secret"))
 
 
