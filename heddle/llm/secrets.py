@@ -40,10 +40,12 @@ DICTIONARY = (
 )
 PLACES = r"(?i)(test|spec|fixture|example|mock|sample|docs?/|\.md$|\.lock$|\.sum$|\.svg$|\.css$)"
 
-_ASSIGN = rf"(?i:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=]{{1,2}}[ \t]{{0,3}}[\"']?"
+_ASSIGN = rf"(?i:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=]{{1,2}}+[ \t]{{0,3}}+[\"']?+"
+_KEY = r"[A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
-    rf"|{_ASSIGN}[^\s\"',;]{{8,}}"
+    # from the BEGIN line to the next marker, which has to be its END line: every text is read once
+    rf"-----BEGIN {_KEY}(?>[\s\S]*?-----(?=BEGIN |END ))END {_KEY}"
+    rf"|{_ASSIGN}(?!-----BEGIN {_KEY})[^\s\"',;]{{8,}}"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 )
 FEATURES = 19
