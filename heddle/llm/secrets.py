@@ -1,8 +1,9 @@
 """Secret scan: candidates by one pattern, false positives removed by a random forest.
 
 All of it is DataFrame expressions. Candidates are runs of 16 or more key characters with
-a digit, values of 8 or more characters assigned to a credential word, and private-key
-blocks, over whole texts. Splitting a text at the candidates gives their neighbourhoods
+a digit or a known prefix, values of SHORTEST or more characters assigned to a credential
+word (quoted ones up to their closing quote in the line), and private-key blocks, over
+whole texts. Splitting a text at the candidates gives their neighbourhoods
 and places. Features: length, shares of character classes, transitions between them,
 distinct characters, dictionary coverage, known shapes, the neighbouring words, the path.
 The forest is trained on labelled findings (``findings``, or ``labelled_findings`` below:
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FINDINGS, TREES, DEPTH, SEED = 8000, 24, 6, 7
+SHORTEST = 4  # characters of an assigned value
 MASK = "[SECRET]"
 
 # fixed values: words beside credentials, words beside harmless numbers, shapes of well-known keys
 CREDENTIAL = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key"
 HARMLESS = "commit|sha1|sha256|md5|checksum|revision|uuid|guid|digest|integrity|version|build|isbn|order|phone|card|invoice|base64|blob|etag|hash"
-KNOWN = "^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|eyJ|glpat-|npm_|-----BEGIN)"
+PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|eyJ|glpat-|npm_"
+KNOWN = f"^({PREFIXES}|-----BEGIN)"
 FILLER = r"(.)\1{4,}|1234567|abcdefg|example|placeholder|changeme|your[_-]|xxxx|dummy|sample|insert"
 DICTIONARY = (
     "access account address admin agent alpha android apple archive article asset author backup banner base beta block board branch bridge browser bucket build button cache camera canvas center change channel chart check "
@@ -40,13 +43,16 @@ DICTIONARY = (
 )
 PLACES = r"(?i)(test|spec|fixture|example|mock|sample|docs?/|\.md$|\.lock$|\.sum$|\.svg$|\.css$)"
 
-_ASSIGN = rf"(?i:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=]{{1,2}}+[ \t]{{0,3}}+[\"']?+"
+# the quantifiers of a sign and of quoted text are possessive, which Java runs without recursion or going back
+_SIGN = rf"(?i:{CREDENTIAL})[\"']?+[ \t]*+[:=]{{1,2}}+[ \t]*+"
+_ASSIGN = rf"{_SIGN}[\"']?+"
+_QUOTED = lambda q: rf"(?=(?:[^{q}\\\r\n]|\\.){{{SHORTEST}}})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+"
 _KEY = r"[A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 CANDIDATE = (
     # from the BEGIN line to the next marker, which has to be its END line: every text is read once
     rf"-----BEGIN {_KEY}(?>[\s\S]*?-----(?=BEGIN |END ))END {_KEY}"
-    rf"|{_ASSIGN}(?!-----BEGIN {_KEY})[^\s\"',;]{{8,}}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+    rf"|{_SIGN}(?![\"']?-----BEGIN {_KEY})(?:\"{_QUOTED('\"')}(?=\")|'{_QUOTED("'")}(?=')|[\"']?+[^\s\"',;]{{{SHORTEST},}})"
+    rf"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])|(?={PREFIXES}))[A-Za-z0-9+/_-]{{16,}}={{0,2}}"
 )
 FEATURES = 19
 
@@ -67,7 +73,7 @@ def features(value: Column, left: Column, right: Column, path: Column) -> Column
         yes(F.rlike(value, F.lit("^([0-9a-f]+|[0-9A-F]+)$")) & n.isin(32, 40, 56, 64)),
         _share(F.lower(value), words),
         yes(F.rlike(left, F.lit(rf"(?i)({CREDENTIAL})"))), yes(F.rlike(left, F.lit(rf"(?i)\b({HARMLESS})"))),
-        yes(F.rlike(left, F.lit(r"[:=][ \t]{0,3}[\"']?$"))), yes(F.rlike(left, F.lit("[\"']$")) & F.rlike(right, F.lit("^[\"']"))),
+        yes(F.rlike(left, F.lit(r"[:=][ \t]*[\"']?$"))), yes(F.rlike(left, F.lit("[\"']$")) & F.rlike(right, F.lit("^[\"']"))),
         yes(F.rlike(value, F.lit(KNOWN))), yes(F.rlike(F.coalesce(path, F.lit("")), F.lit(PLACES))),
         _share(value, "/"), yes(F.rlike(F.lower(value), F.lit(FILLER))),
         yes(F.rlike(value, F.lit("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"))), yes(F.rlike(value, F.lit("^[0-9+-]+$"))),
@@ -104,8 +110,12 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(noun(14), F.lit("-"), noun(15), F.lit("_"), F.substring(digits, 5, 8), F.lit("-large")), space, 0),
         (pick(26, ["changeme1234", "xxxxxxxxxxxxxxx1", "your_token_here_1", "example-key-000000", "placeholder0001", "aaaaaaaa11111111", "1234567812345678"]), assign, 0),
         (F.concat(F.lit("iVBORw0KGgo"), packed), F.lit("data:image/png;base64,"), 0), (cut(hexes, 40), space, 0),
+        (F.concat(cut(noun(14), 3), F.substring(digits, 8, 2), pick(28, ["!", "$", "#", "%"])), assign, 1), (F.concat(noun(14), pick(28, [",", ";", " ", "&"]), cut(plain, 3), F.substring(digits, 8, 3)), assign, 1),
+        (cut(F.regexp_replace(plain, "[0-9]", ""), 8), assign, 1), (F.concat_ws(" ", noun(14), noun(15), noun(16), noun(17)), assign, 1),
+        (noun(14), assign, 0), (pick(29, DICTIONARY.split()), assign, 0),
+        (pick(30, ["None", "null", "true", "false", "undefined", "required", "string", "make", "with", "this", "that", "from", "have", "will", "os.environ[", "process.env.KEY", "getenv(", "settings.KEY", "str", "${VALUE}"]), assign, 0),
     ]
-    order = [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20]
+    order = [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27]
     which = hashed(41, len(order))
     choose = lambda j: F.element_at(F.array(*[F.lit(kinds[k][j]) if j == 2 else kinds[k][j] for k in order]), (which + 1).cast("int"))
     path = pick(27, ["", "src3", "src/main/app.py", "tests/test_login.py", "docs/readme.md", "yarn.lock", "src11"])
