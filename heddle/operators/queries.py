@@ -596,3 +596,47 @@ def notifications(spark, d):
     texts = publications.select(F.col("publication_id"), F.col("topic"), F.concat(F.lit("m"), F.col("publication_id").cast("string")).alias("message"), F.lit(False).alias("raw"))
     bodies = queues.notification(deliveries, texts)
     return bodies.join(deliveries.select("delivery_id", "publication_id"), "delivery_id").select("publication_id", "body")
+
+
+# -- topics, every event and customer ------------------------------------------------------------------------
+
+SETTLED_AT = 10**12  # after every event
+
+
+def all_topic_tables(spark, d):
+    """Every event is published to its user's topic; every customer subscribes to one topic, chosen by c_custkey."""
+    events = t(spark, d, "events")
+    publications = events.select(F.col("event_id").alias("publication_id"), F.col("user_id").cast("string").alias("topic"), F.col("event_id").alias("accepted_at"))
+    topics = F.broadcast(events.agg((F.max("user_id") + 1).alias("topics")))  # one row
+    own = t(spark, d, "customer").crossJoin(topics).withColumn("topic", (F.col("c_custkey") % F.col("topics")).cast("string"))
+    since = F.col("c_custkey") * 10
+    subscriptions = own.select(
+        F.concat_ws("-", "c_custkey", "topic").alias("subscription_id"), "topic", F.lit("sqs").alias("protocol"), F.col("c_name").alias("endpoint"), (F.col("c_custkey") % 3 != 0).alias("confirmed"),
+        since.alias("subscribed_at"), F.when(F.col("c_custkey") % 2 == 0, since + 100).alias("unsubscribed_at"),
+    )
+    return publications, subscriptions
+
+
+FAN_OUT_ALL = """(SELECT e.event_id AS publication_id, CAST(e.user_id AS VARCHAR) AS topic, c.c_custkey || '-' || e.user_id AS subscription_id
+ FROM (SELECT *, c_custkey % (SELECT max(user_id) + 1 FROM events) AS topic FROM customer) c JOIN events e ON e.user_id = c.topic
+ WHERE c.c_custkey % 3 <> 0 AND c.c_custkey * 10 <= e.event_id AND (c.c_custkey % 2 <> 0 OR c.c_custkey * 10 + 100 > e.event_id))"""
+
+
+@query("t19_fan_out_all", f"SELECT publication_id, subscription_id FROM {FAN_OUT_ALL}")
+def fan_out_all(spark, d):
+    return queues.fan_out(*all_topic_tables(spark, d)).select("publication_id", "subscription_id")
+
+
+@query("t20_settle_all", f"SELECT publication_id, subscription_id, CASE WHEN publication_id % 2 = 0 THEN 'DELIVERED' ELSE 'RETRY_SCHEDULED' END AS status, CAST(CASE WHEN publication_id % 2 = 0 THEN publication_id ELSE {SETTLED_AT} + 250 END AS BIGINT) AS due_at FROM {FAN_OUT_ALL}")
+def settle_all(spark, d):
+    claimed = queues.claim(queues.fan_out(*all_topic_tables(spark, d)), "worker-1", SETTLED_AT, 1000, None)
+    outcomes = claimed.select("delivery_id", "owner", "generation", (F.col("publication_id") % 2 == 0).alias("ok"))
+    return queues.settle(claimed, outcomes, SETTLED_AT, 250, 3).select("publication_id", "subscription_id", "status", "due_at")
+
+
+@query("t25_notification_all", """SELECT publication_id, subscription_id, '{"Type":"Notification","MessageId":"' || publication_id || '","TopicArn":"' || topic || '","Message":"m' || publication_id || '"}' AS body FROM """ + FAN_OUT_ALL)
+def notifications_all(spark, d):
+    publications, subscriptions = all_topic_tables(spark, d)
+    deliveries = queues.fan_out(publications, subscriptions)
+    texts = publications.select("publication_id", "topic", F.concat(F.lit("m"), F.col("publication_id").cast("string")).alias("message"), F.lit(False).alias("raw"))
+    return queues.notification(deliveries, texts).join(deliveries.select("delivery_id", "publication_id", "subscription_id"), "delivery_id").select("publication_id", "subscription_id", "body")

@@ -94,11 +94,14 @@ def fan_out(publications: DataFrame, subscriptions: DataFrame) -> DataFrame:
     )
 
 
-def claim(deliveries: DataFrame, owner: str, now: int, lease_ms: int, most: int) -> DataFrame:
-    """Up to ``most`` due rows without a live lease go to the owner, a generation higher."""
+def claim(deliveries: DataFrame, owner: str, now: int, lease_ms: int, most: int | None) -> DataFrame:
+    """Up to ``most`` due rows (None: all of them) without a live lease go to the owner, a generation higher."""
     free = F.col("status").isin("PENDING", "RETRY_SCHEDULED") & (F.col("due_at") <= now) & (F.col("lease_until").isNull() | (F.col("lease_until") <= now))
-    chosen = deliveries.where(free).orderBy("due_at", "delivery_id").limit(most).select("delivery_id", F.lit(True).alias("__mine"))
-    own = deliveries.join(F.broadcast(chosen), "delivery_id", "left")  # ``most`` rows
+    if most is None:
+        own = deliveries.withColumn("__mine", F.when(free, True))
+    else:
+        chosen = deliveries.where(free).orderBy("due_at", "delivery_id").limit(most).select("delivery_id", F.lit(True).alias("__mine"))
+        own = deliveries.join(F.broadcast(chosen), "delivery_id", "left")  # ``most`` rows
     mine = F.col("__mine").isNotNull()
     return own.withColumns(
         {"generation": F.when(mine, F.col("generation") + 1).otherwise(F.col("generation")), "owner": F.when(mine, F.lit(owner)).otherwise(F.col("owner")), "lease_until": F.when(mine, F.lit(now + lease_ms).cast("long")).otherwise(F.col("lease_until"))}

@@ -236,3 +236,28 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = spark.readStream.schema("id int, seq long, old struct<note:string>, new struct<note:string>").parquet(changes)
     index_maintenance(stream, entries, ["id"], ["note"], ["note"], str(tmp_path / "c3")).awaitTermination()
     assert {(r.id, r.note) for r in entries.read().collect()} == {(1, "b"), (2, "c")}
+
+
+@pytest.fixture
+def topic_folder(spark, tmp_path):
+    """5,000 events over 7 users, one with most of them, and 400 customers."""
+    events = spark.range(5000).selectExpr("id AS event_id", "IF(id % 9 = 0, id % 7, 3) AS user_id")
+    customers = spark.range(400).selectExpr("id AS c_custkey", "concat('c', id) AS c_name")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    user = lambda e: e % 7 if e % 9 == 0 else 3
+    pairs = {(e, f"{c}-{c % 7}") for e in range(5000) for c in range(400) if c % 7 == user(e) and c % 3 and c * 10 <= e and (c % 2 or c * 10 + 100 > e)}
+    return str(tmp_path), pairs
+
+
+def test_every_publication_and_subscriber_is_fanned_out_settled_and_notified(spark, topic_folder):
+    from heddle.operators import queries
+
+    folder, pairs = topic_folder
+    rows = queries.QUERIES["t19_fan_out_all"](spark, folder).collect()
+    assert sorted(map(tuple, rows)) == sorted(pairs) and max(e for e, _ in pairs) > 1000
+    settled = queries.QUERIES["t20_settle_all"](spark, folder).collect()
+    want = sorted((e, s, *(("DELIVERED", e) if e % 2 == 0 else ("RETRY_SCHEDULED", queries.SETTLED_AT + 250))) for e, s in pairs)
+    assert sorted(map(tuple, settled)) == want
+    bodies = queries.QUERIES["t25_notification_all"](spark, folder).collect()
+    assert sorted((r.publication_id, r.subscription_id) for r in bodies) == sorted(pairs)
