@@ -640,3 +640,42 @@ def notifications_all(spark, d):
     deliveries = queues.fan_out(publications, subscriptions)
     texts = publications.select("publication_id", "topic", F.concat(F.lit("m"), F.col("publication_id").cast("string")).alias("message"), F.lit(False).alias("raw"))
     return queues.notification(deliveries, texts).join(deliveries.select("delivery_id", "publication_id", "subscription_id"), "delivery_id").select("publication_id", "subscription_id", "body")
+
+
+# -- reference operators over whole tables -----------------------------------------------------------------
+
+
+@query("s2_batch_get_all", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def batch_get_all(spark, d):
+    return reads.batch_get(Relation(t(spark, d, "customer"), "c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+
+
+@query("j1_projection_all", "SELECT o_orderkey, o_orderstatus FROM orders")
+def projection_all(spark, d):
+    return reads.scan(Relation(t(spark, d, "orders"), "o_orderkey"), projection="o_orderkey, #s", names={"#s": "o_orderstatus"}).rows()
+
+
+@query("r2_dependent_get_all", "SELECT DISTINCT o_custkey AS c_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def dependent_get_all(spark, d):
+    nodes = [Node("orders", "QUERY", Relation(t(spark, d, "orders"), "o_orderkey")), Node("customers", "GET", Relation(t(spark, d, "customer"), "c_custkey"), {"c_custkey": From("orders", "o_custkey")}, many=True)]
+    return read_sequence(nodes)["customers"].select("c_custkey", "c_name")
+
+
+@query("r7_string_template_all", "SELECT DISTINCT 'cust#' || o_custkey || '#v1' AS key, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def template_all(spark, d):
+    keyed = t(spark, d, "customer").withColumn("key", F.concat(F.lit("cust#"), F.col("c_custkey").cast("string"), F.lit("#v1")))
+    key = Template("cust#{id}#v1", {"id": From("orders", "o_custkey")})
+    nodes = [Node("orders", "QUERY", Relation(t(spark, d, "orders"), "o_orderkey")), Node("customers", "BATCH_GET", Relation(keyed, "key"), {"key": key}, many=True)]
+    return read_sequence(nodes)["customers"].select("key", "c_name")
+
+
+@query("f5_canonical_number_all", "SELECT c_custkey, CAST(c_custkey AS VARCHAR) || '.5' AS number, CASE WHEN c_custkey = 0 THEN '0' ELSE '-0.00' || rtrim(CAST(c_custkey AS VARCHAR), '0') END AS raw FROM customer")
+def canonical_number_all(spark, d):
+    text = F.col("c_custkey").cast("string")
+    return t(spark, d, "customer").select("c_custkey", numbers.canonical_column(F.concat(F.lit("+00"), text, F.lit(".500e0"))).alias("number"), numbers.canonical_column(F.concat(F.lit("-"), text, F.lit("e-"), (F.length(text) + 2).cast("string"))).alias("raw"))
+
+
+@query("f7_number_order_all", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
+def number_order_all(spark, d):
+    own = t(spark, d, "customer").withColumn("k", numbers.sort_key_column(F.col("c_acctbal").cast("decimal(20,2)").cast("string")))
+    return reads.places(own, ["k", "c_custkey"]).select("c_custkey", "place")

@@ -261,3 +261,28 @@ def test_every_publication_and_subscriber_is_fanned_out_settled_and_notified(spa
     assert sorted(map(tuple, settled)) == want
     bodies = queries.QUERIES["t25_notification_all"](spark, folder).collect()
     assert sorted((r.publication_id, r.subscription_id) for r in bodies) == sorted(pairs)
+
+
+def test_places_of_ties_nulls_and_no_rows_come_from_ranges(spark):
+    kept = [(i, None if i % 11 == 0 else i % 3 if i % 2 else i * 7 % 1000) for i in range(2000)]
+    rows = spark.createDataFrame(kept, "id long, k long")
+    placed = reads.places(rows, ["k", "id"])
+    order = sorted(kept, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert {r.id: r.place for r in placed.collect()} == {i: n + 1 for n, (i, _) in enumerate(order)}
+    assert "Exchange SinglePartition" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert reads.places(rows.where("id < 0"), ["k", "id"]).collect() == []
+
+
+def test_whole_table_queries_read_past_the_prefixes(spark, tmp_path):
+    from heddle.operators import queries
+
+    spark.range(3000).selectExpr("id AS o_orderkey", "id % 700 AS o_custkey", "'O' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(600).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 5 AS double) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    run = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(run("j1_projection_all")) == [(i, "O") for i in range(3000)]
+    assert sorted(r[0] for r in run("s2_batch_get_all")) == list(range(600))
+    assert sorted(run("r2_dependent_get_all")) == [(i, f"c{i}" if i < 600 else None) for i in range(700)]
+    assert sorted(run("r7_string_template_all")) == sorted((f"cust#{i}#v1", f"c{i}") for i in range(600))
+    numbers = {r[0]: r[1:] for r in run("f5_canonical_number_all")}
+    assert len(numbers) == 600 and numbers[0] == ("0.5", "0") and numbers[100] == ("100.5", "-0.001")
+    assert {p: c for c, p in run("f7_number_order_all")} == {n + 1: c for n, c in enumerate(sorted(range(600), key=lambda c: (c % 5, c)))}
