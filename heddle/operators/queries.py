@@ -642,6 +642,26 @@ def notifications_all(spark, d):
     return queues.notification(deliveries, texts).join(deliveries.select("delivery_id", "publication_id", "subscription_id"), "delivery_id").select("publication_id", "subscription_id", "body")
 
 
+# -- dependent reads with inputs that are missing in some rows -----------------------------------------------
+
+
+def sparse_parts(spark, d, missing: str) -> DataFrame:
+    """The parts that a third of the orders name."""
+    orders = Relation(t(spark, d, "orders").withColumn("wanted", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey"))), "o_orderkey")
+    nodes = [Node("orders", "QUERY", orders), Node("parts", "GET", Relation(t(spark, d, "part"), "p_partkey"), {"p_partkey": From("orders", "wanted", missing)}, many=True)]
+    return read_sequence(nodes)["parts"].select("p_partkey", "p_brand")
+
+
+@query("r4_skip_missing", "SELECT o_orderkey AS p_partkey, p_brand FROM orders LEFT JOIN part ON p_partkey = o_orderkey WHERE o_orderkey % 3 = 0")
+def skip_missing(spark, d):
+    return sparse_parts(spark, d, "SKIP")
+
+
+@query("r4_null_missing", "SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS p_partkey, p_brand FROM orders LEFT JOIN part ON p_partkey = CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END")
+def null_missing(spark, d):
+    return sparse_parts(spark, d, "NULL")
+
+
 # -- reference operators over whole tables -----------------------------------------------------------------
 
 

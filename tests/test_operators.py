@@ -286,3 +286,13 @@ def test_whole_table_queries_read_past_the_prefixes(spark, tmp_path):
     numbers = {r[0]: r[1:] for r in run("f5_canonical_number_all")}
     assert len(numbers) == 600 and numbers[0] == ("0.5", "0") and numbers[100] == ("100.5", "-0.001")
     assert {p: c for c, p in run("f7_number_order_all")} == {n + 1: c for n, c in enumerate(sorted(range(600), key=lambda c: (c % 5, c)))}
+
+
+def test_missing_inputs_are_skipped_or_null_beside_rows_that_have_them(spark, tmp_path):
+    from heddle.operators import queries
+
+    spark.range(9).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(5).selectExpr("id AS p_partkey", "concat('b', id) AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("r4_skip_missing") == {(0, "b0"), (3, "b3"), (6, None)}
+    assert run("r4_null_missing") == {(0, "b0"), (3, "b3"), (6, None), (None, None)}
