@@ -1,8 +1,8 @@
 """Training-order shards: token sequences at the places a keyed permutation gives them.
 
 All documents form one stream of token ids (each document ends with the end id): they are
-dealt to PARTS x ``partitions`` parts by a hash of doc_id and text, and lie in order of doc_id in
-each, so the stream does not depend on how the input is stored. Sequence j is the stream's ids [j * S, (j + 1) * S). A keyed Feistel network
+dealt to PARTS parts by a hash of doc_id and text, and lie in order of doc_id in each, so the
+stream depends neither on how the input is stored nor on ``partitions``, which only deals out work. Sequence j is the stream's ids [j * S, (j + 1) * S). A keyed Feistel network
 over the smallest a x b grid that holds n sequences, walked until it falls below n, maps
 j to its global slot, without any table of the permutation. Shard k holds the slots
 [k * R, (k + 1) * R): records of a fixed stride (S uint16 ids, then one newline byte), so
@@ -37,8 +37,8 @@ from heddle.llm.common import new_path
 from heddle.llm.word_ids import pack
 
 ROUNDS = 6
-#: Parts a task holds, on average: so many even out their sizes.
-PARTS = 8
+#: Parts of the stream, several a task to even out their sizes. Another number makes another order.
+PARTS = 2048
 
 
 class Permutation:
@@ -100,7 +100,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, end: int, *, id_col: str, te
                 last, total = parts[-1], int(before[-1] + offset[-1] + sizes[-1])
 
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), coded(F.col(text_col)).alias("ids"))
-    dealt = own.withColumn("part", F.pmod(F.xxhash64("id", "tie"), F.lit(partitions * PARTS)).cast("int")).select("part", "id", "tie", "ids")
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("id", "tie"), F.lit(PARTS)).cast("int")).select("part", "id", "tie", "ids")
     return dealt.repartition(partitions, "part").sortWithinPartitions("part", "id", "tie").mapInArrow(number, "part int, start long, ids binary")
 
 
@@ -182,7 +182,7 @@ def write(
 ) -> dict:
     """Write the shards of one epoch below folder; returns the manifest (also kept as manifest/ there)."""
     spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))  # a part of the manifest: give it to make the same order again
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))  # tasks, not the order
     table, shards = f"{folder}/tokenised", f"{folder}/shards"
     if not resume:
         tokenised(docs, tokenizer_file, end, id_col=id_col, text_col=text_col, partitions=partitions).write.option("compression", "zstd").parquet(table)
@@ -193,7 +193,7 @@ def write(
         offsets[part] = total
         total += n
     sequences = -(-total // length)
-    manifest = {"key": key, "length": length, "per_shard": per_shard, "end": end, "tokens": total, "sequences": sequences, "partitions": partitions, "stride": 2 * length + 1, "shards": -(-sequences // per_shard)}
+    manifest = {"key": key, "length": length, "per_shard": per_shard, "end": end, "tokens": total, "sequences": sequences, "parts": PARTS, "stride": 2 * length + 1, "shards": -(-sequences // per_shard)}
     wanted = {k: (min(per_shard, sequences - k * per_shard)) * manifest["stride"] for k in range(manifest["shards"])}
     found = _sizes(spark, shards)
     done = [k for k, size in wanted.items() if [s for _, s in found.get(k, [])] == [size]] if resume else []

@@ -119,6 +119,26 @@ def test_shards_round_trip_and_resume(spark):
     assert shards.read(spark, folder, manifest, first=25).count() == manifest["sequences"] - 25
 
 
+def test_shards_keep_doc_id_order_in_every_part_for_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(shards, "PARTS", 5)
+    texts = corpus(60)
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    options = {"length": 16, "per_shard": 10}
+
+    def stream(own, **more):
+        folder = new_path(spark, "test-order")
+        manifest = shards.write(own, folder, queries.WORD_TOKENIZER, **options, **more)
+        got = {r.slot: bytes(r.ids) for r in shards.read(spark, folder, manifest).collect()}
+        order = shards.Permutation(manifest["sequences"], manifest["key"])(np.arange(manifest["sequences"]))
+        return b"".join(got[int(s)] for s in order)[: 2 * manifest["tokens"]]
+
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", "text", tie.alias("tie"), F.pmod(F.xxhash64("doc_id", tie), F.lit(5)).alias("part")).collect()
+    keyed.sort(key=lambda r: (r.part, r.doc_id is not None, r.doc_id or 0, r.tie))
+    want = b"".join(np.frombuffer(b, "<u4").astype("<u2").tobytes() for b in pack(pa.array([r.text for r in keyed], pa.string()), queries.WORD_TOKENIZER, 2))
+    assert stream(docs.repartition(1), partitions=3) == stream(docs.repartition(7, "text"), partitions=8) == stream(docs) == want
+
+
 def test_shards_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert shards.materialise_order(empty, queries.WORD_TOKENIZER).count() == 0
