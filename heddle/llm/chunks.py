@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(texts: pa.Array, limit: int = 8_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
     """The array in parts of about ``limit`` bytes; a longer text is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

@@ -6,6 +6,7 @@ at exactly these six characters, unlike ``str.split()``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="heddle-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -48,7 +51,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of an Arrow batch between Spark and Python: whole texts are long, workers are small.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,13 +35,15 @@ def pieces(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text
         f"transform(filter(array({bits}), b -> (shiftright(doc_tokens, b) & 1L) = 1L), "
         "b -> named_struct('start', shiftleft(shiftright(doc_tokens, b + 1), b + 1), 'length', shiftleft(1L, b)))"
     )
-    cut = sized.select("doc_id", "ids", "doc_tokens", F.explode(F.concat(whole, rest)).alias("p"))
+    # each piece takes its own ids along, so that no row of a piece holds its whole document
+    with_ids = "transform(cuts, p -> struct(p.start, p.length, substring(ids, CAST(p.start * 4 + 1 AS INT), CAST(p.length * 4 AS INT)) AS ids))"
+    cut = sized.withColumn("cuts", F.concat(whole, rest)).select("doc_id", "doc_tokens", F.explode(F.expr(with_ids)).alias("p"))
     bucket = F.log2(F.col("p.length").cast("double")).cast("int").cast("long")
     return cut.select(
         "doc_id",
         F.col("p.start").alias("start"),
         F.col("p.length").alias("length"),
-        F.expr("substring(ids, CAST(p.start * 4 + 1 AS INT), CAST(p.length * 4 AS INT))").alias("ids"),
+        F.col("p.ids").alias("ids"),
         "doc_tokens",
         (F.shiftleft(bucket, 55) + F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),

@@ -2,9 +2,9 @@
 
 The tokenizer of the packing operators folds case, drops white space and its pieces never
 cross it, so a text's ids are those of its chunks in order. The distinct chunks of a part
-of about 8 MB are tokenised once: punctuation after an ASCII letter starts a piece of its
+of about 2 MB are tokenised once: punctuation after an ASCII letter starts a piece of its
 own, so chunks share the ids of their stems; stems of letters alone are tokenised many to
-a call and cut apart at the tokens that end words. Stems stay in a bounded cache.
+a call and cut apart at the tokens that end words. Stems stay in a cache bounded in bytes.
 Chunks that may hold a special token's string are tokenised by themselves, as they are.
 """
 
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from heddle.llm.chunks import coded, slices
 
-#: Stems a worker keeps; a bound on memory, not on what is tokenised.
-CACHE = 400_000
+#: Bytes of stems a worker keeps, with what Python needs for each; a bound on memory, not on what is tokenised.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 220
 STEM_AND_TAIL = r"(?s)^(?P<stem>.*[a-z])(?P<tail>[!-/:-@\[-`{-~]*)$"
 JOINED = 500
-PART_BYTES = 8_000_000
+PART_BYTES = 2_000_000
 
 
 class Words:
@@ -36,10 +36,15 @@ class Words:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, piece: str, data: bytes) -> None:
+        self.cache[piece] = data
+        self.held += ENTRY_BYTES + len(piece) + len(data)
 
     def _each(self, pieces: list[str]) -> None:
         for piece, code in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(code.ids, "<u4").tobytes()
+            self._keep(piece, np.array(code.ids, "<u4").tobytes())
 
     def learn(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if p.isalpha()]
@@ -53,7 +58,7 @@ class Words:
                 continue
             data, start = ids.tobytes(), 0
             for piece, end in zip(group, ends.tolist(), strict=True):
-                self.cache[piece] = data[start:end]
+                self._keep(piece, data[start:end])
                 start = end
 
     def pack(self, texts: pa.Array, end: int | None) -> list[bytes]:
@@ -65,8 +70,9 @@ class Words:
         stems = pc.if_else(split, halves.field("stem"), chunks).dictionary_encode()
         tails = pc.fill_null(pc.if_else(split, halves.field("tail"), ""), "").dictionary_encode()
         names = [*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
-        if len(self.cache) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         cache = self.cache
         cache[""] = b""
         fresh = list({p for p in names if p not in cache})
@@ -93,7 +99,9 @@ def words_of(tokenizer_file: str) -> Words:
 
 def pack(texts: pa.Array, tokenizer_file: str, end: int | None) -> list[bytes]:
     own = words_of(tokenizer_file)
-    return [row for part in slices(texts, PART_BYTES) for row in own.pack(part, end)]
+    rows = [row for part in slices(texts, PART_BYTES) for row in own.pack(part, end)]
+    pa.default_memory_pool().release_unused()
+    return rows
 
 
 def packed_ids(text: Column, tokenizer_file: str, end: int | None) -> Column:
