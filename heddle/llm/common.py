@@ -45,6 +45,39 @@ def materialise(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ())
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, removed when it ends; ``result`` stays.
+
+    A failed run leaves none of them either.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.kept:
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.option("compression", compression).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove a table that nothing reads any more."""
+        path = next(p for own, p in self.kept if own is df)
+        self.kept = [(own, p) for own, p in self.kept if p != path]
+        remove(self.spark, path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return materialise(df, name)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

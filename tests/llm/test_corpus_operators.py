@@ -165,6 +165,41 @@ def test_top_k_equals_brute_force(spark):
     assert maxscore.top_k(df.limit(0), F.lit(True), 5).count() == 0
 
 
+def by_hand(rows, k):
+    want = []
+    for a, (q, x) in enumerate(rows):
+        scores = sorted((-sum(i * j for i, j in zip(x, y, strict=False)), v) for b, (v, y) in enumerate(rows) if b != a)
+        want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(scores[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e7, 3e9])
+def test_top_k_of_components_beyond_32_bits(spark, scale):
+    """Products beyond 2^53, and sums whose bound passes 64 bits though no returned score does."""
+    rng = random.Random(int(scale))
+    rows = [(i, [rng.choice([-1, 1]) * (scale + rng.randint(0, 9)) * (1 if j % 2 else -1) / 256 * 0.4 for j in range(2)]) for i in range(60)]
+    rows += [(60, [1.5e7, 1.0]), (61, [0.0, 0.0]), (62, [])]
+    exact = [(i, [math.floor(x * 256) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, maxscore.top_k(df, F.lit(True), 4).collect())) == by_hand(exact, 4)
+
+
+def test_top_k_says_what_does_not_fit(spark):
+    df = spark.createDataFrame([(1, [1e18]), (2, [1e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="needs more than 64 bits"):
+        maxscore.top_k(df, F.lit(True), 1).collect()
+
+
+def test_top_k_in_many_shards_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 250, [float(x) for x in rng.normal(0, 0.5, rng.integers(1, 9))]) for i in range(400)] + [(7, [0.25] * 8)] * 90
+    for name, value in (("SHARD_ROWS", 40), ("BLOCK_ROWS", 25), ("SHARDS_A_GROUP", 2), ("SAMPLE", 30)):
+        monkeypatch.setattr(maxscore, name, value)
+    exact = [(i, [math.floor(x * 256) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    assert sorted(map(tuple, maxscore.top_k(df, F.lit(True), 3).collect())) == by_hand(exact, 3)
+
+
 # -- near-duplicates ----------------------------------------------------------------------------------
 
 
