@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise
+from heddle.llm.common import Scratch
 
 
 def _toward_smaller(edges: DataFrame) -> DataFrame:
@@ -21,22 +21,25 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable. edges: a, b; any order, repeats allowed.
 
-    Every round is written to the shared folder. Ends when a round changes nothing.
+    Every round is written to the caller's tables, and the one before it removed. Ends when a
+    round changes nothing.
     """
-    now = materialise(_toward_smaller(edges), "edges")
+    now = scratch.keep(_toward_smaller(edges), "edges")
     before = None
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         wide = _toward_smaller(_star(both, large=True))
-        after = materialise(_toward_smaller(_star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False)), "edges")
+        after = scratch.keep(_toward_smaller(_star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False)), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        scratch.drop(now)
         now = after
         if mark == before or not mark[0]:
             break
         before = mark
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return scratch.keep(nodes, "reached")

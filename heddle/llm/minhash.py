@@ -1,7 +1,8 @@
 """Near-duplicates by circulant MinHash, banding and exact verification.
 
-Documents with one and the same shingle set form a class, found by a 128-bit key of the
-set; only classes are compared. Signatures (``BANDS`` x ``ROWS`` coordinates from two
+Documents with one and the same shingle set form a class: their SHA-256 over the whole
+sorted set is equal, which confirms it; only classes are compared, under the row number of
+their first row. Signatures (``BANDS`` x ``ROWS`` coordinates from two
 permutations) are cut into bands; classes that share a band key are candidates. With 32
 bands of 4 rows a pair at similarity 0.8 is missed with probability 5e-8 (0.85: 5e-11).
 
@@ -19,6 +20,12 @@ between different texts is lost, and a bucket of n near copies costs about n pai
 Null or empty texts, or texts of white space, have an empty set and no links. Fewer
 words than a shingle: the whole sequence is one shingle. Repeated rows fall into one
 class. Rows without doc_id take part; a component's id is its smallest non-null doc_id.
+Texts of any length are compared whole. An empty table gives no rows. Only the id and text
+columns are read; ``deduplicate`` returns all columns, whatever their names.
+
+A centre's set goes to its members in as many copies as it has ``SHARE`` members, each for
+a share of them, so that a class with a third of all company is no single task's work.
+Tables of a run are removed when the next ones are written.
 """
 
 from __future__ import annotations
@@ -29,27 +36,28 @@ from pyspark.sql import functions as F
 
 from heddle.llm import shingles as S
 from heddle.llm.chunks import slices
-from heddle.llm.common import materialise
+from heddle.llm.common import Scratch, materialise
 from heddle.llm.components import components
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 #: Ids broadcast instead of joined by a shuffle: at most this many (16 bytes each).
 BROADCAST_ROWS = 100_000
+#: Members compared with one copy of their centre's set.
+SHARE = 2048
 
 
 def described(text: Column) -> Column:
-    """Struct: n_shingles, the set's two keys, band keys (none for an empty set)."""
+    """Struct: n_shingles, the set's key, band keys (none for an empty set)."""
 
-    @F.arrow_udf("n_shingles long, set_a long, set_b long, bands array<long>")
+    @F.arrow_udf("n_shingles long, set_key binary, bands array<long>")
     def describe(texts: pa.Array) -> pa.Array:
         done = []
-        for part in slices(texts, 4_000_000):
+        for part in slices(texts):
             sets = [S.shingle_set(h, WIDTH) for h in S.word_hashes(part)]
             bands = S.band_keys(S.circulant_signatures(sets, BANDS * ROWS), ROWS)
-            keys = [S.set_keys(s) for s in sets]
             none = bands[0][:0]
-            columns = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [b if len(s) else none for b, s in zip(bands, sets, strict=True)]]
-            done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["n_shingles", "set_a", "set_b", "bands"]))
+            columns = [[len(s) for s in sets], [S.set_key(s) for s in sets], [b if len(s) else none for b, s in zip(bands, sets, strict=True)]]
+            done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["n_shingles", "set_key", "bands"]))
         return pa.concat_arrays(done)
 
     return describe(text)
@@ -58,7 +66,7 @@ def described(text: Column) -> Column:
 def full_set(text: Column) -> Column:
     @F.arrow_udf("array<long>")
     def shingled(texts: pa.Array) -> pa.Array:
-        done = [pa.array([S.shingle_set(h, WIDTH).view("int64") for h in S.word_hashes(part)], pa.list_(pa.int64())) for part in slices(texts, 4_000_000)]
+        done = [pa.array([S.shingle_set(h, WIDTH).view("int64") for h in S.word_hashes(part)], pa.list_(pa.int64())) for part in slices(texts)]
         return pa.concat_arrays(done)
 
     return shingled(text)
@@ -68,7 +76,10 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (x, y) with the sizes of both sets, their intersection, and x without y."""
     left = sets.select(F.col("cls").alias("x"), F.col("s").alias("sx"))
     right = sets.select(F.col("cls").alias("y"), F.col("s").alias("sy"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.array_except("sx", "sy").alias("added"))
+    shares = pairs.groupBy("y").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"))
+    copies = shares.join(right, "y").select("y", "sy", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    both = dealt.join(left, "x").join(copies, ["y", "share"]).select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.array_except("sx", "sy").alias("added"))
     return both.withColumn("inter", F.col("nx") - F.size("added"))
 
 
@@ -76,19 +87,19 @@ def _linked(similarity: int) -> Column:
     return 100 * F.col("inter") >= similarity * (F.col("nx") + F.col("ny") - F.col("inter"))
 
 
-def _residual(checked: DataFrame, reached: DataFrame, similarity: int) -> DataFrame:
+def _residual(checked: DataFrame, reached: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     """Pairs (x, y) beside the stars that may be linked and are in different components."""
     t = similarity / 100
     comp = reached.withColumnRenamed("node", "cls")
     placed = checked.join(comp.select(F.col("cls").alias("x"), "component"), "x", "left").select("x", F.col("y").alias("c"), "nx", "ny", "inter", "added", "linked", F.coalesce("component", "x").alias("comp"))
-    placed = materialise(placed, "placed")
+    placed = scratch.keep(placed, "placed")
     # 1: additions shared by classes of one centre, rarest first. If x and y share a of them,
     # the rarest shared one stands at place |A| - a + 1 or before in both.
     shingle = placed.select("c", "x", "nx", "comp", "linked", "inter", F.size("added").alias("na"), F.explode("added").alias("e"))
     # an addition within one component links nothing
     shared = shingle.groupBy("c", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1")
     ranked = shingle.join(shared, ["c", "e"], "left").withColumn("at", F.row_number().over(Window.partitionBy("c", "x").orderBy(F.coalesce("df", F.lit(1)), "e"))).where("lo != hi")
-    ranked = materialise(ranked.select("c", "e", "x", "nx", "comp", "linked", "inter", "na", "at"), "ranked")
+    ranked = scratch.keep(ranked.select("c", "e", "x", "nx", "comp", "linked", "inter", "na", "at"), "ranked")
     own = placed.where(~F.col("linked"))
     added = F.size("added")
     least = lambda n, na, inter: F.ceil((t * (F.col(n) + F.col(na)) - F.col(inter)) / (1 + t) - 1e-9)
@@ -112,52 +123,59 @@ def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id",
     Row numbers must not change when rows are read again, so without ``uid_col`` (a unique
     column of a stored table) ids and texts are first written with numbers of their own.
     """
-    text = F.col(text_col).alias("text")
-    if uid_col is None:
-        source = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text), "documents")
-    else:
-        source = docs.select(F.col(uid_col).alias("uid"), F.col(id_col).alias("doc_id"), text)
-    rows = materialise(source.select("uid", "doc_id", described(F.col("text")).alias("d")).select("uid", "doc_id", "d.*", F.xxhash64("d.n_shingles", "d.set_a", "d.set_b").alias("cls")), "rows")
-    full = rows.where("n_shingles > 0")
-    # a class's first row: smallest doc_id (null last), then uid; it stands for the class
-    classes = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid")).alias("least")).select("cls", "least", F.col("least.uid").alias("uid"))
-    classes = materialise(classes, "classes")
-    banded = full.join(classes.select("uid"), "uid", "left_semi").select("cls", F.explode("bands").alias("bucket"))
-    banded = materialise(banded, "banded")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(banded.join(sizes, "bucket"), "members")
-    company = members.groupBy("cls").agg(F.sum("size").alias("company"))
-    centres = members.join(company, "cls").groupBy("bucket").agg(F.max(F.struct("company", "cls")).alias("c")).select("bucket", F.col("c.cls").alias("c"))
-    star = members.join(centres, "bucket").where("cls != c").select(F.col("cls").alias("x"), F.col("c").alias("y")).distinct()
-
-    # the classes that share a bucket, with their full sets
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("uid", "cls")
-    wanted = materialise(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    sets = materialise(source.select("uid", "text").join(F.broadcast(wanted) if few else wanted, "uid").select("cls", full_set(F.col("text")).alias("s")), "sets")
-
-    checked = materialise(_compared(star, sets).withColumn("linked", _linked(similarity)), "checked")
-    links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    reached = materialise(components(links), "reached")
-    more = materialise(_compared(_residual(checked, reached, similarity), sets).where(_linked(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")), "more")
-    if not more.isEmpty():
-        reached = materialise(components(links.unionByName(more)), "reached")
-
-    grouped = classes.join(reached.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
-    firsts = grouped.groupBy("comp").agg(F.min("least").alias("least"))
-    named = grouped.select("cls", "comp").join(firsts, "comp").select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("first_uid"))
-    return rows.join(materialise(named, "named"), "cls", "left").select(
-        "uid", "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.col("uid") == F.col("first_uid"), F.lit(True)).alias("first"),
-    )
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        keep = scratch.keep
+        text = F.col(text_col).alias("text")
+        if uid_col is None:
+            source = keep(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text), "documents")
+        else:
+            source = docs.select(F.col(uid_col).alias("uid"), F.col(id_col).alias("doc_id"), text)
+        rows = keep(source.select("uid", "doc_id", described(F.col("text")).alias("d")).select("uid", "doc_id", "d.*"), "rows")
+        full = rows.where("n_shingles > 0")
+        # a class's first row: smallest doc_id (null last), then uid; its uid names the class
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid")).alias("least")
+        classes = keep(full.groupBy("set_key").agg(first).select("set_key", "least", F.col("least.uid").alias("cls")), "classes")
+        banded = keep(full.join(classes.select("cls"), F.col("uid") == F.col("cls")).select("cls", F.explode("bands").alias("bucket")), "banded")
+        sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        members = keep(banded.join(sizes, "bucket"), "members")
+        scratch.drop(banded)
+        company = members.groupBy("cls").agg(F.sum("size").alias("company"))
+        centres = members.join(company, "cls").groupBy("bucket").agg(F.max(F.struct("company", "cls")).alias("c")).select("bucket", F.col("c.cls").alias("c"))
+        star = keep(members.join(centres, "bucket").where("cls != c").select(F.col("cls").alias("x"), F.col("c").alias("y")).distinct(), "star")
+
+        # the classes that share a bucket, with their full sets
+        wanted = keep(members.select("cls").distinct(), "wanted")
+        scratch.drop(members)
+        few = wanted.count() <= BROADCAST_ROWS
+        chosen = source.select("uid", "text").join(F.broadcast(wanted) if few else wanted, F.col("uid") == F.col("cls"))
+        sets = keep(chosen.select("cls", full_set(F.col("text")).alias("s")), "sets")
+
+        checked = keep(_compared(star, sets).withColumn("linked", _linked(similarity)), "checked")
+        links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        reached = components(links, scratch)
+        more = keep(_compared(keep(_residual(checked, reached, similarity, scratch), "residual"), sets).where(_linked(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")), "more")
+        if not more.isEmpty():
+            reached = components(links.unionByName(more), scratch)
+
+        grouped = classes.join(reached.withColumnRenamed("node", "cls"), "cls", "left").select("set_key", "least", F.coalesce("component", "cls").alias("comp"))
+        firsts = grouped.groupBy("comp").agg(F.min("least").alias("least"))
+        named = keep(grouped.select("set_key", "comp").join(firsts, "comp").select("set_key", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("first_uid")), "named")
+        found = rows.join(named, "set_key", "left").select(
+            "uid", "doc_id", "n_shingles",
+            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.coalesce(F.col("uid") == F.col("first_uid"), F.lit(True)).alias("first"),
+        )
+        return scratch.result(found, "near-duplicates")
 
 
 def deduplicate(docs: DataFrame, similarity: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each group, with the columns they came with."""
     own = "__heddle_uid"
+    while own in docs.columns:
+        own += "_"
     stored = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "documents")
     verdict = near_duplicates(stored, similarity, id_col=id_col, text_col=text_col, uid_col=own)
-    dropped = materialise(verdict.where(~F.col("first")).select(F.col("uid").alias(own)), "dropped")
+    dropped = verdict.where(~F.col("first")).select(F.col("uid").alias(own))
     few = dropped.count() <= BROADCAST_ROWS
     return stored.join(F.broadcast(dropped) if few else dropped, own, "left_anti").drop(own)

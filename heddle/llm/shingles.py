@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -78,9 +80,6 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_keys(values: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, whatever its order."""
-    with np.errstate(over="ignore"):
-        a = mix(values + np.uint64(1)).sum(dtype=np.uint64)
-        b = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def set_key(values: np.ndarray) -> bytes:
+    """The set's name: SHA-256 of all its sorted members."""
+    return hashlib.sha256(np.ascontiguousarray(values)).digest()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.llm import katz, maxscore, minhash, queries, shards, shingles
-from heddle.llm.common import crc_mod, new_path
+from heddle.llm.common import crc_mod, new_path, shared_dir
 from heddle.llm.word_ids import pack
 
 ODD = [None, "", "  ", "one", "A b c d", "a B c d", "a b c d e", "x " * 400, "é漢 字", "a b c d e f g", "a b c d e f g"]
@@ -257,6 +257,25 @@ def test_one_document_of_each_group_stays(spark):
     assert minhash.deduplicate(df.limit(0), 80).count() == 0
 
 
+def test_one_centre_of_many_members(spark, monkeypatch):
+    """A centre with thousands of members is compared in shares; stray texts stay apart; no table of the run is left."""
+    monkeypatch.setattr(minhash, "SHARE", 64)
+    base = [f"b{i}" for i in range(45)]
+    texts = [" ".join([*base, f"own{i}"]) for i in range(3000)] + [" ".join(f"{i}w{j}" for j in range(20)) for i in range(50)] + ["tail " * 700_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    listed = lambda: {f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+    before = listed()
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 85).collect()}
+    assert got == {i: 0 if i < 3000 else i for i in range(len(texts))}
+    assert len(listed() - before) == 1  # the result
+
+
+def test_a_set_is_named_by_all_its_members():
+    sets = [np.arange(n, dtype=np.uint64) for n in (0, 1, 2, 50)] + [np.array([1], np.uint64)]
+    assert len({shingles.set_key(s) for s in sets}) == 5 and shingles.set_key(sets[3]) == shingles.set_key(sets[3].copy())
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
