@@ -2,7 +2,10 @@
 
 Follows the parts of the HTML parsing rules that matter for text: void and raw-text
 elements, comments, optional end tags (p, li, dt, dd, option, table parts), end tags that
-close what was left open inside, and stray end tags, which are ignored.
+close what was left open inside, and stray end tags, which are ignored. Quotes group only
+the value after a sign, as in the standard; elsewhere in a tag they are plain characters.
+The stack keeps the places of its elements by name, so a page takes time in proportion to
+its length however deep it is.
 """
 
 from __future__ import annotations
@@ -23,10 +26,51 @@ CLOSES_P = frozenset(
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 SCOPE = frozenset("article aside body button caption div fieldset footer form header html main nav section table td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
+class Stack:
+    """Open elements, with the places of every name; place 0 is the root's."""
+
+    def __init__(self):
+        self.nodes, self.names = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+        #: places of elements in a set of names, kept for the sets that are asked for on every tag
+        self.kept = {id(SCOPE): (SCOPE, []), id(BLOCK): (BLOCK, [])}
+        self.top = 0
+
+    def push(self, node: int, name: str) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.names.append(name)
+        self.places.setdefault(name, []).append(k)
+        for names, places in self.kept.values():
+            if name in names:
+                places.append(k)
+        self.top = node
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def last_of(self, names) -> int:
+        """The highest place of an element with one of the names, 0 if none is open."""
+        if own := self.kept.get(id(names)):
+            return own[1][-1] if own[1] else 0
+        return max(map(self.last, names))
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all above it."""
+        while len(self.nodes) > k:
+            self.nodes.pop()
+            self.places[self.names.pop()].pop()
+        for _, places in self.kept.values():
+            while places and places[-1] >= k:
+                places.pop()
+        self.top = self.nodes[-1]
+
+
 class Tree:
     """Element i has tag[i], parent[i] (before it; the root is 0) and attributes[i].
 
@@ -38,11 +82,11 @@ class Tree:
     def __init__(self, html: str):
         self.tag, self.parent, self.attributes = ["#root"], [-1], [""]
         self.runs: list[tuple[int, str | None]] = []
-        stack, names = [0], ["#root"]
+        stack = Stack()
         at, size = 0, len(html)
         for token in iter(lambda: TOKEN.search(html, at), None):
             if token.start() > at:
-                self.runs.append((stack[-1], html[at : token.start()]))
+                self.runs.append((stack.top, html[at : token.start()]))
             at = token.end()
             name = token.group(2)
             if name is None:
@@ -51,27 +95,24 @@ class Tree:
                 continue
             name = name.lower()
             if token.group(1):
-                if name in names:
-                    k = len(names) - 1 - names[::-1].index(name)
-                    if name in BLOCK or not SCOPE.intersection(names[k + 1 :]):
-                        for gone in names[k:]:
-                            if gone in BLOCK:
-                                self.runs.append((stack[-1], None))
-                                break
-                        del stack[k:], names[k:]
+                k = stack.last(name)
+                if k:
+                    if name in BLOCK or stack.last_of(SCOPE) <= k:
+                        if stack.last_of(BLOCK) >= k:
+                            self.runs.append((stack.top, None))
+                        stack.cut(k)
                 elif name in ("p", "br"):
-                    self.runs.append((stack[-1], None if name == "p" else " "))
+                    self.runs.append((stack.top, None if name == "p" else " "))
                 continue
             if name in CLOSES_P:
-                self._close(stack, names, ("p",), SCOPE)
+                self._close(stack, ("p",), SCOPE)
             if name in ENDS:
-                self._close(stack, names, *ENDS[name])
-            block = name in BLOCK
-            if block:
-                self.runs.append((stack[-1], None))
+                self._close(stack, *ENDS[name])
+            if name in BLOCK:
+                self.runs.append((stack.top, None))
             node = len(self.tag)
             self.tag.append(name)
-            self.parent.append(stack[-1])
+            self.parent.append(stack.top)
             self.attributes.append(token.group(3))
             if name in VOID or token.group(3).endswith("/") and name not in BLOCK and name not in RAW:
                 if name == "br" or name == "wbr":
@@ -80,22 +121,18 @@ class Tree:
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
                 self.runs.append((node, html[at : end.start() if end else size]))
-                self.runs.append((stack[-1], None))
+                self.runs.append((stack.top, None))
                 at = size if not end else (html.find(">", end.end()) + 1 or size)
                 continue
-            stack.append(node)
-            names.append(name)
+            stack.push(node, name)
         if at < size:
-            self.runs.append((stack[-1], html[at:]))
-
-    def _close(self, stack, names, ended, scope) -> None:
-        for k in range(len(names) - 1, 0, -1):
-            if names[k] in ended:
-                self.runs.append((stack[-1], None))
-                del stack[k:], names[k:]
-                return
-            if names[k] in scope:
-                return
+            self.runs.append((stack.top, html[at:]))
+
+    def _close(self, stack: Stack, ended, scope) -> None:
+        k = stack.last_of(ended)
+        if k and k >= stack.last_of(scope):
+            self.runs.append((stack.top, None))
+            stack.cut(k)
 
 
 def marks(attributes: str) -> str:

@@ -10,7 +10,9 @@ choices of ancestor and descendant contradict each other.
 
 The model is trained on ``PAGES`` generated pages with known roles, from a fixed seed; it
 depends on no table. Null or empty html, or a page without article text, gives empty
-text. Repeated rows are extracted each. Texts are whole: nothing is dropped for length.
+text, an empty table no rows; other columns are not read. Repeated rows are extracted each.
+Texts are whole: nothing is dropped for length, and time grows in proportion to the markup,
+however long or deep.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from heddle.llm.boosting import Boosted
 from heddle.llm.dom import BLOCK, RAW, Tree, marks
 
 PAGES, SEED = 700, 20
+BREAK = '<br data-role="1">'
 
 # fixed values: words of class, id and role that pages use
 GOOD = ("article", "content", "post", "entry", "main", "body", "story", "text", "blog", "prose", "richtext", "page")
@@ -156,7 +159,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
 
     def sentences(a, b):
-        mark = rng.choice(["", "", "", "***", "&amp;&amp;", "!!"])
+        mark = rng.choice(["", "", "", "".join(rng.choice(["*", "!", "&amp;", "~", "#", "%", "=", "$", "|", "^"]) for _ in range(rng.randint(1, 4)))])
         return " ".join((words(3, 18) + rng.choice([".", ".", ",", ""]) + mark).capitalize() for _ in range(rng.randint(a, b)))
 
     def e(tag, inner="", role=0, **attributes):
@@ -188,8 +191,11 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
         kind = rng.random()
         if kind < 0.55:
             return e("p", sentences(1, 6), 1)
+        if kind < 0.62:  # elements that are never closed
+            inner = pick(["b", "i", "em", "strong", "span"])
+            return f'<p data-role="1"><{inner} data-role="1">{sentences(1, 3)}{pick(["", BREAK])}'
         if kind < 0.65:
-            return f'<p data-role="1"><b data-role="1">{sentences(1, 3)}<br data-role="1">'
+            return e("p", sentences(1, 2) + BREAK + sentences(1, 2), 1)
         if kind < 0.73:
             return e("p", f"{words(2, 8)} {e('a', words(1, 3), 1, href='#')} {sentences(1, 2)} {e('em', words(1, 2), 1)}", 1)
         if kind < 0.80:
@@ -200,8 +206,10 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
             return e("blockquote", pick([e("p", sentences(1, 2), 1), sentences(1, 2)]), 1)
         if kind < 0.94:
             return e("table", "".join(e("tr", "".join(e("td", words(1, 3), 1) for _ in range(3)), 1) for _ in range(rng.randint(1, 4))), 1)
-        if kind < 0.97:
+        if kind < 0.955:
             return e("pre", words(3, 12), 1)
+        if kind < 0.97:
+            return e("figure", '<img data-role="1" src="a.png">' + e("figcaption", words(2, 9) + ".", 1), 1)
         return e("p", pick([word().capitalize() + ".", words(1, 3)]), 1)
 
     body = [paragraph() for _ in range(rng.randint(1, 14))]
@@ -225,10 +233,16 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
     else:
         article = e(pick(["div", "section"]), inner, 1)
     top = maybe(0.5, lambda: e("header", pick([e("a", words(1, 3)), e("h1", words(1, 4)), ""]) + maybe(0.5, lambda: e("nav", links(rng.randint(2, 7))))))
-    end = maybe(0.8, lambda: e("footer", pick(["&copy; " + words(1, 5), links(3), e("p", "&copy; " + sentences(1, 1)), words(1, 4) + " &middot; " + sentences(1, 2)])))
+    sign = pick(["&copy;", "&reg;", "&middot;", "&bull;", "&raquo;", "|", "-"])
+    small = pick([f"{sign} {words(1, 5)}", links(3), e("p", f"{sign} {sentences(1, 1)}"), f"{words(1, 4)} {sign} {sentences(1, 2)}", e("small", words(1, 5))])
+    end = maybe(0.8, lambda: e("footer", small) if rng.random() < 0.7 else e("div", small, **{pick(["class_", "id"]): pick(["footer", "site-footer", "bottom", "copyright", "legal"])}))
     middle = "".join(pick(noise)() for _ in range(rng.randint(0, 3))) + article + maybe(0.25, comments) + "".join(pick(noise)() for _ in range(rng.randint(0, 2)))
     if rng.random() < 0.3:
         middle = e("div", middle, 0, **pick([{}, {"class_": "container"}, {"id": "wrapper"}]))
+    if rng.random() < 0.08:  # cells of a table of the whole page
+        side = e("td", links(rng.randint(2, 6)), **pick([{}, {"class_": "menu"}, {"width": "150"}]))
+        middle = e("table", e("tr", e("td", words(1, 4) + e("a", words(1, 2)), colspan="2")) + e("tr", side + e("td", e("div", inner, 1), 0)) + e("tr", e("td", small, colspan="2")))
+        top = end = ""
     page = f'<!DOCTYPE html><html data-role="0"><head data-role="0"><meta data-role="0" charset="utf-8"><title data-role="0">{title}</title></head><body data-role="0">' + top + middle + end
     return page + maybe(0.9, lambda: "</body></html>")
 

@@ -6,7 +6,9 @@ two, so sequences of equal length form buckets that batch without padding, and n
 sequence crosses a document. No shuffle: every row is decomposed where it is read.
 
 Null or empty text: only the end id, one piece of length 1. Repeated rows are packed
-each, under their own sequence ids.
+each, under their own sequence ids. Very long texts are whole: each of their pieces is a
+row. An empty table gives no rows. Only the id and the text column are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
