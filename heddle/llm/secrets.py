@@ -11,7 +11,11 @@ The forest is trained on labelled findings (``findings``, or ``labelled_findings
 secret when at least half of the trees say so.
 
 Null and empty texts have no findings. Repeated rows have theirs each. A null path counts
-as empty. Findings do not overlap and come in the order of the text.
+as empty. Findings do not overlap and come in the order of the text. An empty table has no
+findings. Very long texts and very many candidates are scanned whole, in time that grows in
+proportion to them; columns of any name are kept. Not candidates: assigned values of fewer
+than SHORTEST characters, free-standing runs of fewer than 16 or with neither a digit nor a
+known prefix.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINDINGS, TREES, DEPTH, SEED = 8000, 24, 6, 7
+FINDINGS, TREES, DEPTH, SEED = 16000, 24, 7, 7
+BLOCK = 256  # candidates a block of the running sums
 SHORTEST = 4  # characters of an assigned value
 MASK = "[SECRET]"
 
@@ -90,7 +95,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     plain = F.regexp_replace(packed, "[+/]", "")
     digits = F.lpad(F.abs(F.xxhash64("id", F.lit(3))).cast("string"), 19, "4")
     pick = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (hashed(salt, len(values)) + 1).cast("int"))
-    noun = lambda salt: pick(salt, ["thread", "erelong", "image", "photo", "release", "tionath", "ondere", "article", "ciónde", "geheit", "module", "entre"])
+    syllable = lambda salt: F.concat(pick(salt, "b c d f g k l m n p r s t v br ch st tr".split()), pick(salt + 100, "a e i o u ai ea ou é ö".split()), pick(salt + 200, ["", "", "n", "r", "s", "l", "nd", "st"]))
+    noun = lambda salt: F.when(hashed(salt + 300, 3) == 0, pick(salt + 400, DICTIONARY.split())).otherwise(F.concat(syllable(salt), syllable(salt + 500), F.when(hashed(salt + 600, 2) == 0, syllable(salt + 700)).otherwise("")))
     word = F.concat_ws(" ", noun(11), noun(12), noun(13))
     credential = pick(21, ["token", "api_key", "secret", "password", "apikey", "access_key", "auth token", "client_secret", "TOKEN", "API-KEY", "PASSWORD"])
     assign = F.concat(F.col("w"), F.lit(" "), credential, pick(22, [' = "', "=", ": ", " = ", ': "', '="']))
@@ -118,7 +124,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     order = [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27]
     which = hashed(41, len(order))
     choose = lambda j: F.element_at(F.array(*[F.lit(kinds[k][j]) if j == 2 else kinds[k][j] for k in order]), (which + 1).cast("int"))
-    path = pick(27, ["", "src3", "src/main/app.py", "tests/test_login.py", "docs/readme.md", "yarn.lock", "src11"])
+    path = F.element_at(F.array(F.lit(""), noun(18), F.concat(noun(18), F.lit("/"), noun(19), pick(27, [".py", ".js", ".go", ".env", ".yml"])), F.concat(F.lit("tests/test_"), noun(18)), F.concat(F.lit("docs/"), noun(18), F.lit(".md")), F.concat(noun(18), F.lit(".lock"))), (hashed(42, 6) + 1).cast("int"))
     rows_ = base.withColumn("w", word)
     return rows_.select("id", choose(0).alias("value"), choose(1).alias("left"), closes.alias("right"), path.alias("path"), choose(2).cast("double").alias("label"))
 
@@ -170,46 +176,78 @@ def votes(trees: list, array: str) -> str:
     return "(" + " + ".join(one(tree) for tree in trees) + f") / {len(trees)}.0D"
 
 
-def scanned(docs: DataFrame, trees: list, text: Column, path: Column, *, parts: str = "__parts", found: str = "__found") -> DataFrame:
-    """docs with two columns more: the text between the candidates, and the scored candidates in order."""
-    own = docs.withColumn(parts, F.split(F.coalesce(text, F.lit("")), CANDIDATE, -1)).withColumn("__matches", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CANDIDATE), F.lit(0)))
-    number = F.size("__matches")
-
-    def item(i: Column) -> Column:
-        match = F.element_at("__matches", i)
-        prefix = F.regexp_extract(match, rf"^({_ASSIGN})?", 0)
-        value = F.substr(match, F.length(prefix) + 1)
-        left = F.concat(F.right(F.element_at(parts, i), F.lit(48)), prefix)
-        right = F.left(F.element_at(parts, i + 1), F.lit(24))
-        before = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0).cast("long"), lambda a, p: a + F.length(p)) + F.aggregate(F.slice("__matches", F.lit(1), i - 1), F.lit(0).cast("long"), lambda a, m: a + F.length(m))
-        return F.struct(
-            (before + F.length(prefix)).alias("start"),
-            prefix.alias("prefix"),
-            value.alias("value"),
-            F.when(F.length(prefix) > 0, "assigned").when(value.startswith("-----BEGIN"), "private_key").otherwise("key_like").alias("rule"),
-            features(value, left, right, path).alias("f"),
-        )
-
-    items = F.when(number > 0, F.transform(F.sequence(F.lit(1), number), item)).otherwise(F.array())
-    own = own.withColumn("__items", items).drop("__matches")
-    scored = f"transform(__items, x -> named_struct('start', x.start, 'prefix', x.prefix, 'value', x.value, 'rule', x.rule, 'score', {votes(trees, 'x.f')}))"
-    return own.withColumn(found, F.expr(scored)).drop("__items")
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of a long array up to each place, in time proportional to its length (nearly): blocks first, then inside them."""
+    zero = F.lit(0).cast("long")
+    plus = lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x))
+    block = lambda own, b: F.slice(own, b * BLOCK + 1, F.lit(BLOCK))
+    number = lambda own: F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int"))
+
+    def summed(own: Column) -> Column:
+        totals = F.transform(number(own), lambda b: F.aggregate(block(own, b), zero, lambda a, x: a + x))
+        starts = F.aggregate(totals, F.array(zero), plus)
+        inside = lambda begin: F.transform(number(own), lambda b: F.slice(F.aggregate(block(own, b), F.array(F.element_at(begin, b + 1)), plus), F.lit(2), F.lit(BLOCK)))
+        return F.flatten(_let(starts, inside))
+
+    return _let(values, lambda own: F.when(F.size(own) > 0, summed(own)).otherwise(own))
+
+
+def scanned(docs: DataFrame, trees: list, text: Column, path: Column) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, and their names: the text before the first candidate, and the scored candidates in order, each with the text up to the next."""
+    cut, items, found, head = (_fresh(docs, f"heddle_{n}") for n in ("cut", "items", "found", "head"))
+    whole = F.coalesce(text, F.lit(""))
+    own = docs.withColumn(cut, F.struct(F.split(whole, CANDIDATE, -1).alias("parts"), F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0)).alias("matches")))
+
+    def split(z: Column) -> Column:
+        parts, matches = z["parts"], z["matches"]
+        n = F.size(matches)
+        before, after = F.slice(parts, F.lit(1), n), F.slice(parts, F.lit(2), n)
+        each = F.zip_with(before, matches, lambda p, m: F.struct(p.alias("before"), m.alias("match")))
+        each = F.zip_with(each, after, lambda x, p: F.struct(x["before"].alias("before"), x["match"].alias("match"), p.alias("rest")))
+        ends = running_sums(F.transform(each, lambda x: (F.length(x["before"]) + F.length(x["match"])).cast("long")))
+
+        def placed(x: Column, end: Column) -> Column:
+            return _let(F.regexp_extract(x["match"], rf"^({_ASSIGN})?", 0), lambda prefix: _let(F.substr(x["match"], F.length(prefix) + 1), lambda value: F.struct(
+                (end - F.length(value)).alias("start"), prefix.alias("prefix"), value.alias("value"), x["rest"].alias("rest"),
+                F.when(F.length(prefix) > 0, "assigned").when(value.startswith("-----BEGIN"), "private_key").otherwise("key_like").alias("rule"),
+                F.concat(F.right(x["before"], F.lit(48)), prefix).alias("left"), F.left(x["rest"], F.lit(24)).alias("right"),
+            )))
+
+        return F.zip_with(each, ends, placed)
+
+    own = own.withColumn(items, F.transform(_let(F.col(cut), split), lambda x: F.struct(x["start"].alias("start"), x["prefix"].alias("prefix"), x["value"].alias("value"), x["rest"].alias("rest"), x["rule"].alias("rule"), features(x["value"], x["left"], x["right"], path).alias("f"))))
+    scored = f"transform({items}, x -> named_struct('start', x.start, 'prefix', x.prefix, 'value', x.value, 'rest', x.rest, 'rule', x.rule, 'score', {votes(trees, 'x.f')}))"
+    own = own.withColumn(found, F.expr(scored)).withColumn(head, F.element_at(F.col(cut)["parts"], 1))
+    return own.drop(cut, items), head, found
 
 
 def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, trees: list | None = None) -> DataFrame:
     """doc_id, start (code points before it), length, rule, value, score, is_secret: one row per candidate."""
     trees = trees or forest(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), (F.col(path_col) if path_col else F.lit("")).alias("p"))
+    own, _, found = scanned(own, trees, F.col("t"), F.col("p"))
     # explode() would have its inferred filter evaluate the whole scan once more
-    each = scanned(own, trees, F.col("t"), F.col("p")).select("doc_id", F.explode_outer("__found").alias("x")).where("x IS NOT NULL")
+    each = own.select("doc_id", F.explode_outer(found).alias("x")).where("x IS NOT NULL")
     return each.select("doc_id", "x.start", F.length("x.value").cast("long").alias("length"), "x.rule", "x.value", "x.score", (F.col("x.score") >= 0.5).alias("is_secret"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = None, trees: list | None = None) -> DataFrame:
-    """docs with every secret in the text replaced by MASK; null texts stay null."""
+    """docs with every secret in the text replaced by MASK; null texts stay null, other columns as they are."""
     trees = trees or forest(docs.sparkSession)
-    own = scanned(docs, trees, F.col(text_col), F.col(path_col) if path_col else F.lit(""))
-    shown = F.transform("__found", lambda x: F.concat(x["prefix"], F.when(x["score"] >= 0.5, MASK).otherwise(x["value"])))
-    rest = F.slice("__parts", 2, F.greatest(F.size("__parts") - 1, F.lit(1)))
-    joined = F.concat(F.element_at("__parts", 1), F.array_join(F.zip_with(shown, rest, lambda s, p: F.concat(s, p)), ""))
-    return own.withColumn(text_col, F.when(F.col(text_col).isNull(), None).when(F.size("__found") == 0, F.col(text_col)).otherwise(joined)).drop("__parts", "__found")
+    own, head, found = scanned(docs, trees, F.col(text_col), F.col(path_col) if path_col else F.lit(""))
+    shown = F.transform(found, lambda x: F.concat(x["prefix"], F.when(x["score"] >= 0.5, MASK).otherwise(x["value"]), x["rest"]))
+    joined = F.concat(F.col(head), F.array_join(shown, ""))
+    return own.withColumn(text_col, F.when(F.col(text_col).isNull(), None).when(F.size(found) == 0, F.col(text_col)).otherwise(joined)).select(docs.columns)
