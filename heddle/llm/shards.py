@@ -13,11 +13,12 @@ length.
 Spark's text writer puts the shards into the shared store, so a lost executor only repeats
 its own files and a shard appears whole or not at all. ``write`` with ``resume=True``
 leaves shards of the right size as they are and writes the others from the tokenised
-table in the same folder.
+table in the same folder; other arguments than the stored manifest's are an error. Only a
+resumed run lists the shards on the driver (a few dozen bytes each).
 
 Null and empty texts are one end id. Null doc_ids come first in a part; rows with the same
-doc_id and text are interchangeable. An empty table has no
-shards. Ids must be below 65536.
+doc_id and text are interchangeable. Very long texts are cut like all others; other columns
+are not read, whatever their names. An empty table has no shards. Ids must be below 65536.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import new_path
+from heddle.llm.common import new_path, remove
 from heddle.llm.word_ids import pack
 
 ROUNDS = 6
@@ -127,9 +128,11 @@ def pieces(stream: DataFrame, offsets: dict[int, int], total: int, key: str, len
     return stream.mapInArrow(run, "shard long, slot long, at int, ids binary")
 
 
-def records(cut: DataFrame, length: int, end: int, partitions: int) -> DataFrame:
-    """shard, value: the records of each shard, in slot order, all of a shard in one task."""
-    ordered = cut.repartition(partitions, "shard").sortWithinPartitions("shard", "slot", "at")
+def records(cut: DataFrame, shards: int, length: int, end: int, partitions: int) -> DataFrame:
+    """shard, value: the records of each shard, in slot order; a task has a range of whole shards."""
+    tasks = max(1, min(partitions, shards))
+    own = F.floor(F.col("shard") * tasks / shards).cast("int")
+    ordered = cut.repartitionById(tasks, own).sortWithinPartitions("shard", "slot", "at")
     filler = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,22 +197,24 @@ def write(
         total += n
     sequences = -(-total // length)
     manifest = {"key": key, "length": length, "per_shard": per_shard, "end": end, "tokens": total, "sequences": sequences, "parts": PARTS, "stride": 2 * length + 1, "shards": -(-sequences // per_shard)}
-    wanted = {k: (min(per_shard, sequences - k * per_shard)) * manifest["stride"] for k in range(manifest["shards"])}
-    found = _sizes(spark, shards)
-    done = [k for k, size in wanted.items() if [s for _, s in found.get(k, [])] == [size]] if resume else []
-    for k in found.keys() - set(done):
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{shards}/shard={k}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    if len(done) < len(wanted):
+    missing: set[int] | None = None  # None: all
+    if resume:
+        stored = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+        if stored != manifest:
+            raise ValueError(f"the folder holds shards of another manifest: {stored}")
+        found = _sizes(spark, shards)
+        missing = {k for k in range(manifest["shards"]) if [s for _, s in found.get(k, [])] != [min(per_shard, sequences - k * per_shard) * manifest["stride"]]}
+        for k in found.keys() & missing:
+            remove(spark, f"{shards}/shard={k}")
+    else:  # before the shards, so that a run that stops can be resumed
+        spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(f"{folder}/manifest")
+    if sequences and missing != set():
         cut = pieces(stream, offsets, total, key, length, per_shard)
-        if done:
-            missing = spark.createDataFrame([(k,) for k in sorted(wanted.keys() - set(done))], "shard long")
-            cut = cut.join(missing, "shard", "left_semi")
+        if missing is not None:
+            cut = cut.join(spark.createDataFrame([(k,) for k in sorted(missing)], "shard long"), "shard", "left_semi")
         # the text writer copies the bytes as they are and ends every record with one newline byte
-        rows = records(cut, length, end, max(partitions, 1)).select("shard", F.col("value").cast("string").alias("value"))
+        rows = records(cut, manifest["shards"], length, end, partitions).select("shard", F.col("value").cast("string").alias("value"))
         rows.write.mode("append").partitionBy("shard").text(shards)
-    if not resume:
-        spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(f"{folder}/manifest")
     return manifest
 
 

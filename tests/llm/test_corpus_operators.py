@@ -117,6 +117,8 @@ def test_shards_round_trip_and_resume(spark):
     assert shards.write(docs, folder, queries.WORD_TOKENIZER, length=16, per_shard=10, resume=True) == manifest
     assert {r.slot: bytes(r.ids) for r in shards.read(spark, folder, manifest).collect()} == got
     assert shards.read(spark, folder, manifest, first=25).count() == manifest["sequences"] - 25
+    with pytest.raises(ValueError, match="another manifest"):
+        shards.write(docs, folder, queries.WORD_TOKENIZER, length=16, per_shard=12, resume=True)
 
 
 def test_shards_keep_doc_id_order_in_every_part_for_any_partitioning(spark, monkeypatch):
