@@ -4,29 +4,34 @@
 integer whose bit i says that rule i failed. A policy is a named, versioned mask over
 these bits: judging, comparing and ablating policies only read the ledger.
 
-Null and empty text: zero words, bit 0 set. Repeated rows each get their row. Ratios are
-compared in integers, so results do not depend on rounding.
+Null and empty text: zero words, bit 0 set. Repeated rows each get their row, an empty table
+none. Texts of any length are measured whole. Ratios are compared in integers, so results do
+not depend on rounding. ``filter_documents`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import materialise
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_bang_words long, n_digits long, longest_word long"
-
-#: Name and failing condition, as SQL over the measurements; the place in the list is the bit.
-RULES: list[tuple[str, str]] = [
-    ("few_words", "n_words < 50"),
-    ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    ("symbols", "100 * n_symbols > 10 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
-    ("shouting", "100 * n_bang_words > 30 * n_words"),
-    ("digits", "100 * n_digits > 30 * word_chars"),
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_bang_words long, n_digits long"
+
+#: Name and failing condition over the measurements; the place in the list is the bit.
+RULES: list[tuple[str, Callable[[Callable[[str], Column]], Column]]] = [
+    ("few_words", lambda m: m("n_words") < 50),
+    ("repeated_words", lambda m: 100 * m("n_repeat_words") > 50 * m("n_words")),
+    ("word_length", lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 15 * m("n_words"))),
+    ("symbols", lambda m: 100 * m("n_symbols") > 10 * m("n_words")),
+    ("repeated_lines", lambda m: 100 * m("n_dup_lines") > 50 * m("n_lines")),
+    ("shouting", lambda m: 100 * m("n_bang_words") > 30 * m("n_words")),
+    ("digits", lambda m: 100 * m("n_digits") > 30 * m("word_chars")),
 ]
 #: Versioned policies: the rules that reject.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -43,7 +48,7 @@ def mask(policy: str) -> int:
 
 def measure_text(text: str | None) -> tuple[int, ...]:
     if not text:
-        return (0,) * 9
+        return (0,) * 8
     words = text.encode("utf-8").split()
     n = len(words)
     symbols = sum(map(text.count, SYMBOLS))
@@ -62,7 +67,7 @@ def measure_text(text: str | None) -> tuple[int, ...]:
                 reach = i + 3
     bang = sum(w.endswith(b"!") for w in words)
     digits = sum(map(text.count, "0123456789"))
-    return (n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), bang, digits, max(map(len, words), default=0))
+    return (n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), bang, digits)
 
 
 def measure(text: Column) -> Column:
@@ -79,12 +84,9 @@ def measure(text: Column) -> Column:
 def failure_bits(measures: str | None = None) -> Column:
     """The rules' bits, over columns or over the fields of a struct column."""
     bits = F.lit(0).cast("long")
+    m = lambda name: F.col(f"{measures}.{name}" if measures else name)
     for i, (_, failing) in enumerate(RULES):
-        rule = failing
-        if measures:
-            for name in (x.split()[0] for x in MEASURES.split(", ")):
-                rule = rule.replace(name, f"{measures}.{name}")
-        bits = bits + F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        bits = bits + F.when(failing(m), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
     return bits
 
 
@@ -94,6 +96,11 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     return measured.withColumn("fail_bits", failure_bits())
 
 
+def stored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read it, texts are measured once."""
+    return materialise(ledger(docs, id_col=id_col, text_col=text_col), "ledger")
+
+
 def judge(book: DataFrame, policy: str) -> DataFrame:
     """The ledger with kept: no rule of the policy failed."""
     return book.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)
@@ -102,6 +109,8 @@ def judge(book: DataFrame, policy: str) -> DataFrame:
 def filter_documents(docs: DataFrame, policy: str, *, text_col: str = "text") -> DataFrame:
     """The documents that the policy keeps, with the columns they came with."""
     verdict = "__heddle_quality"
+    while verdict in docs.columns:
+        verdict += "_"
     marked = docs.withColumn(verdict, measure(F.col(text_col)))
     return marked.where(failure_bits(verdict).bitwiseAND(F.lit(mask(policy))) == 0).drop(verdict)
 

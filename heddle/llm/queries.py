@@ -73,7 +73,7 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.judge(quality.ledger(table(spark, sf_dir, "documents")), "web-1")
+    book = quality.judge(quality.stored(table(spark, sf_dir, "documents")), "web-1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base-1"))) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
