@@ -1,6 +1,7 @@
 """Language model, shards, search, near-duplicates and the pipeline, against brute force on small fixtures."""
 
 import collections
+import functools
 import math
 import random
 import zlib
@@ -31,49 +32,83 @@ def corpus(n=160, seed=5):
 # -- language model ---------------------------------------------------------------------------
 
 
-def katz_by_hand(texts, held):
+def katz_by_hand(texts, held, order):
+    """Counts of every level over padded texts, and p(w | h) by recursion on the length of h."""
     rows = [[*words(t), "END"] for t in texts]
-    c, pairs = collections.Counter(), collections.Counter()
+    c = [collections.Counter() for _ in range(order)]  # c[k]: (k words, word)
     for row, out in zip(rows, held, strict=True):
         if not out:
-            c.update(row)
-            pairs.update(zip(["BEGIN", *row], row, strict=False))
-    n, v = sum(c.values()), len(c)
-    spectrum = lambda x: [0] + [sum(k == r for k in x.values()) for r in range(1, katz.K + 2)]
-    d1, d2 = katz.discounts(spectrum(c)), katz.discounts(spectrum(pairs))
-    kept = sum(d1[min(k, katz.K + 1)] * k for k in c.values())
+            padded = ["BEGIN"] * (order - 1) + row
+            for i in range(order - 1, len(padded)):
+                for k in range(order):
+                    c[k][tuple(padded[i - k : i + 1])] += 1
+    n, v = sum(c[0].values()), len(c[0])
+    spectrum = lambda x: [0] + [sum(m == r for m in x.values()) for r in range(1, katz.K + 2)]
+    d = [katz.discounts(spectrum(x)) for x in c]
+    cut = lambda k, m: d[k][min(m, katz.K + 1)] * m
+    kept = sum(cut(0, m) for m in c[0].values())
     total = n if n and 1 - kept / n > 1e-9 else n + 1
-    p1 = lambda w: d1[min(c[w], katz.K + 1)] * c[w] / total if c[w] else 1 - kept / total
-    contexts = collections.defaultdict(list)
-    for (h, w), k in pairs.items():
-        contexts[h].append((w, k))
+    after = collections.defaultdict(list)
+    for k in range(1, order):
+        for gram, m in c[k].items():
+            after[gram[:-1]].append((gram[-1], m))
+
+    @functools.cache
+    def weight(h):
+        count, freed = sum(m for _, m in after[h]), sum(cut(len(h), m) for _, m in after[h])
+        below = count if 1 - freed / count >= 1e-9 else count + 1
+        return below, (1 - freed / below) / (1 - sum(p(h[1:], x) for x, _ in after[h]))
 
     def p(h, w):
-        if h not in contexts:
-            return p1(w)
-        count, freed = sum(k for _, k in contexts[h]), sum(d2[min(k, katz.K + 1)] * k for _, k in contexts[h])
-        below = count if 1 - freed / count >= 1e-9 else count + 1
-        if (h, w) in pairs:
-            return d2[min(pairs[h, w], katz.K + 1)] * pairs[h, w] / below
-        return (1 - freed / below) / (1 - sum(p1(x) for x, _ in contexts[h])) * p1(w)
+        if not h:
+            return cut(0, c[0][(w,)]) / total if c[0][(w,)] else 1 - kept / total
+        if h not in after:
+            return p(h[1:], w)
+        below, alpha = weight(h)
+        return cut(len(h), c[len(h)][(*h, w)]) / below if c[len(h)][(*h, w)] else alpha * p(h[1:], w)
 
-    return rows, c, n, v, p
+    return rows, c[0], n, v, p
 
 
-def test_katz_equals_brute_force(spark):
-    texts = corpus()
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_equals_brute_force(spark, order):
+    texts = corpus(120 if order > 2 else 160)
     docs = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)], "doc_id long, text string, score double").repartition(3)
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    rows, c, n, v, p = katz_by_hand(texts, held)
-    got = {r.doc_id: r for r in katz.score(docs, crc_mod(F.col("doc_id"), 7) == 2).collect()}
+    rows, c, n, v, p = katz_by_hand(texts, held, order)
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = {r.doc_id: r for r in katz.score(docs, crc_mod(F.col("doc_id"), 7) == 2, order=order).collect()}
+    assert {t.name for t in spark.catalog.listTables()} == tables
     assert len(got) == len(texts)
+    histories = set()
     for i, row in enumerate(rows):
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(row), sum(c[w] > 0 for w in row), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in row), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["BEGIN", *row], row, strict=False)), rel=1e-9)
-    for h in ["BEGIN", *list(c)[:40], "never seen"]:
-        assert sum(p(h, w) for w in c) + p(h, "not a word") == pytest.approx(1, abs=1e-9)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(row), sum(c[w,] > 0 for w in row), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in row), rel=1e-9)
+        padded = ["BEGIN"] * (order - 1) + row
+        own = [tuple(padded[j : j + order - 1]) for j in range(len(row))]
+        histories.update(own[:2])
+        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(own, row, strict=True)), rel=1e-9)
+    for h in [*sorted(histories, key=str)[:30], ("never",) * (order - 1)]:
+        assert sum(p(h, w) for (w,) in c) + p(h, "not a word") == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_katz_from_stored_tables(spark, order, monkeypatch):
+    monkeypatch.setattr(katz, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(katz, "RANGE_BYTES", 1000)
+    texts = corpus(100)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    learnt, other = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
+    whole = katz.score(docs, F.col("doc_id") % 3 == 0, order=order)
+    model = katz.train(learnt, order=order)
+    want = {r.doc_id: r for r in whole.where("held_out").collect()}
+    got = {r.doc_id: r for r in model.score(other).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[i].n_tokens, want[i].n_known, want[i].train_tokens)
+        assert r.score == pytest.approx(want[i].score, rel=1e-12) and r.base_score == pytest.approx(want[i].base_score)
+    assert {r.doc_id for r in model.score(learnt).collect()} == {i for i in range(len(texts)) if i % 3}
 
 
 def test_katz_without_training_or_rows(spark):
