@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; its result is
 written as Parquet and read again for the next stage. All but the last return the columns
-of documents.
+of documents. An empty table passes through empty; rows with the same id are rows of their own.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the policy; null and empty texts have too few words and go."""
     return quality.filter_documents(docs, QUALITY_POLICY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at SIMILARITY per cent or more; texts without words all stay."""
     return minhash.deduplicate(docs, SIMILARITY)
 
 
@@ -39,6 +41,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document; a null or empty text is one piece of the end id."""
     return packing.digests(packing.pieces(docs, WORD_TOKENIZER))
 
 
