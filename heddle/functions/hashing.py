@@ -28,6 +28,14 @@ def change_slot(table: str) -> int:
     return fnv1a(table) % 256
 
 
+def change_slot_column(table: Column) -> Column:
+    """change_slot of a text column."""
+    data, n = table.cast("binary"), F.octet_length(table)
+    byte = lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("long")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(0x811C9DC5).cast("long"), lambda h, i: h.bitwiseXOR(byte(i)) * 0x01000193 % 2**32) % 256
+
+
 def body_digest(body: Column) -> Column:
     return F.md5(body.cast("binary"))
 

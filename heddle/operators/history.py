@@ -173,15 +173,27 @@ def advance_clock(wall: int, persisted: tuple[int, int], observed: tuple[int, in
 # -- load control ---------------------------------------------------------------------------------
 
 
-def pressure(samples: DataFrame, partition: str, at: str, load: str, capacity: float) -> DataFrame:
-    """Smoothed pressure of partitions (weight 0.4 of the newest sample, 64 samples back) and streaks of high and low ones."""
-    w = Window.partitionBy(partition).orderBy(at)
-    history = F.reverse(F.collect_list(F.col(load) / capacity).over(w.rowsBetween(-63, 0)))
-    smooth = F.aggregate(F.reverse(history), F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(0.4 * x + 0.6 * a))
-    own = samples.withColumn("pressure", smooth)
-    run = lambda flag: F.count("*").over(Window.partitionBy(partition, flag).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    high, low = F.col("pressure") >= 1.3, F.col("pressure") <= 0.35
-    own = own.withColumn("__breaks", F.sum((~high).cast("int")).over(w)).withColumn("__lows", F.sum((~low).cast("int")).over(w))
-    own = own.withColumn("high_streak", F.when(high, run("__breaks") - F.when(F.col("__breaks") > 0, 1).otherwise(0)).otherwise(0)).withColumn("low_streak", F.when(low, run("__lows") - F.when(F.col("__lows") > 0, 1).otherwise(0)).otherwise(0))
-    action = F.when(F.col("high_streak") >= 3, "SPLIT").when(F.col("low_streak") >= 12, "DRAIN").otherwise("KEEP")
-    return own.drop("__breaks", "__lows").withColumn("action", action)
+def pressure(samples: DataFrame, partition: str, at: str, load: str, capacity: float, *, queue: bool = False) -> DataFrame:
+    """Pressure of partitions after each sample, streaks of high and low samples, and what they call for.
+
+    A sample's ratio of load to capacity is smoothed (0.4 of the newest) over all samples; its
+    distance from one adds up to an integral clamped to -2..4; pressure is the smoothed ratio and
+    a fifth of the integral. Streaks count samples of at least 1 and of at most 0.35. Three high
+    ones at a pressure of 1.3 SPLIT (a queue has a partition added at 1.2: ADD); twelve low ones
+    at a pressure of at most 0.35 DRAIN.
+    """
+    points = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), (F.col(load) / capacity).alias("x"))))
+    start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("i"), F.lit(0).alias("h"), F.lit(0).alias("l"))
+
+    def next_state(a: Column, x: Column) -> Column:
+        smooth = F.when(a["e"] <= 0, x).otherwise(0.4 * x + 0.6 * a["e"])
+        integral = F.greatest(F.lit(-2.0), F.least(F.lit(4.0), a["i"] + smooth - 1.0))
+        return F.struct(smooth.alias("e"), integral.alias("i"), F.when(x >= 1.0, a["h"] + 1).otherwise(0).alias("h"), F.when((x <= 0.35) & (x < 1.0), a["l"] + 1).otherwise(0).alias("l"))
+
+    series = samples.groupBy(partition).agg(points.alias("s"))
+    states = F.aggregate("s", F.array(start), lambda all_, s: F.concat(all_, F.array(next_state(F.element_at(all_, -1), s["x"]))), lambda all_: F.slice(all_, F.lit(2), F.size(all_)))
+    each = series.select(partition, F.explode(F.arrays_zip(F.transform("s", lambda s: s["at"]).alias("at"), states.alias("c"))).alias("z"))
+    found = each.select(partition, F.col("z.at").alias(at), (F.col("z.c.e") + 0.2 * F.col("z.c.i")).alias("pressure"), F.col("z.c.h").alias("high_streak"), F.col("z.c.l").alias("low_streak"))
+    high = (F.col("high_streak") >= 3) & (F.col("pressure") >= (1.2 if queue else 1.3))
+    low = (F.col("low_streak") >= 12) & (F.col("pressure") <= 0.35)
+    return samples.join(found.withColumn("action", F.when(high, "ADD" if queue else "SPLIT").when(low, "DRAIN").otherwise("KEEP")), [partition, at])

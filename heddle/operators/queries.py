@@ -64,12 +64,6 @@ def get_item(spark, d):
     return reads.get_item(Relation(t(spark, d, "orders"), "o_orderkey"), {"o_orderkey": 7}, [("o_orderkey",), ("o_custkey",), ("o_totalprice",)])
 
 
-@query("s2_batch_get", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
-def batch_get(spark, d):
-    keys = t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return reads.batch_get(Relation(t(spark, d, "customer"), "c_custkey"), keys)
-
-
 @query("s3_transact_get", "SELECT o.o_orderkey AS ordinal, o.o_custkey * 2 AS c_custkey, c.c_name, c.c_acctbal FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey * 2 WHERE o.o_orderkey <= 100")
 def transact_get(spark, d):
     keys = t(spark, d, "orders").where("o_orderkey <= 100").select(F.col("o_orderkey").alias("ordinal"), (F.col("o_custkey") * 2).alias("c_custkey"))
@@ -136,12 +130,6 @@ def conditions(spark, d):
     return own.select("o_orderkey", *[compiler.condition(E.condition(text, bound=BOUND, whole=False)).alias(f"c_{name}") for name, (text, _) in CONDITIONS.items()])
 
 
-@query("j1_projection", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey <= 1000")
-def projection(spark, d):
-    table = Relation(t(spark, d, "orders").where("o_orderkey <= 1000"), "o_orderkey")
-    return reads.scan(table, projection="o_orderkey, #s", names={"#s": "o_orderstatus"}).rows()
-
-
 @query("j3_count", "SELECT count(*) AS count FROM (SELECT * FROM orders WHERE o_custkey = 10 ORDER BY o_orderkey LIMIT 10) WHERE o_totalprice > 1000")
 def count_select(spark, d):
     return reads.query(orders_of(spark, d), "o_custkey = :c", filter="o_totalprice > :p", bound={":c": N(10), ":p": N(1000)}, select="COUNT", limit=10).rows()
@@ -191,13 +179,6 @@ def sequence(spark, d):
     return read_sequence(nodes)["orders"].select(F.col("__parent.c_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
 
 
-@query("r2_dependent_get", "SELECT DISTINCT o_custkey AS c_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 2000")
-def dependent_get(spark, d):
-    first = Relation(t(spark, d, "orders").where("o_orderkey <= 2000"), "o_orderkey")
-    nodes = [Node("orders", "QUERY", first), Node("customers", "GET", Relation(t(spark, d, "customer"), "c_custkey"), {"c_custkey": From("orders", "o_custkey")}, many=True)]
-    return read_sequence(nodes)["customers"].select("c_custkey", "c_name")
-
-
 @query("r3_three_steps", "SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2")
 def three_steps(spark, d):
     customers = t(spark, d, "customer")
@@ -206,23 +187,6 @@ def three_steps(spark, d):
     return region.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"))
 
 
-@query("r4_on_missing", f"SELECT DISTINCT note AS p_brand, p_partkey FROM {SPARSE} o JOIN part ON p_brand = 'Brand#' || CAST(o_orderkey % 60 AS VARCHAR) AND note IS NOT NULL WHERE FALSE")
-def on_missing(spark, d):
-    # a missing input skips the invocation: no order has a customer that is null
-    orders = Relation(sparse(t(spark, d, "orders")).withColumn("missing", F.lit(None).cast("string")), "o_orderkey")
-    nodes = [Node("orders", "QUERY", orders), Node("parts", "GET", Relation(t(spark, d, "part"), "p_brand"), {"p_brand": From("orders", "missing")}, many=True)]
-    return read_sequence(nodes)["parts"].select("p_brand", "p_partkey")
-
-
-@query("r7_string_template", "SELECT DISTINCT 'cust#' || o_custkey || '#v1' AS key, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 500")
-def template(spark, d):
-    keyed = t(spark, d, "customer").withColumn("key", F.concat(F.lit("cust#"), F.col("c_custkey").cast("string"), F.lit("#v1")))
-    orders = Relation(t(spark, d, "orders").where("o_orderkey <= 500"), "o_orderkey")
-    key = Template("cust#{id}#v1", {"id": From("orders", "o_custkey")})
-    nodes = [Node("orders", "QUERY", orders), Node("customers", "BATCH_GET", Relation(keyed, "key"), {"key": key}, many=True)]
-    return read_sequence(nodes)["customers"].select("key", "c_name")
-
-
 @query("r10_mapped_edge", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45")
 def mapped_edge(spark, d):
     rows = t(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", F.array(F.col("l_suppkey"), F.col("l_partkey")).alias("indexer_values"))
@@ -286,6 +250,82 @@ def transact(spark, d):
     return writes.transact(state, members, ["c_custkey"], {"funded": F.col("c_acctbal") > 0})[0]
 
 
+@query(
+    "w1_put_outcomes",
+    """SELECT k AS c_custkey, c_custkey IS NULL OR c_acctbal < 1000 AS accepted, c_custkey IS NOT NULL AS existed, CASE WHEN c_acctbal < 1000 THEN c_name END AS old_name
+       FROM (SELECT c_custkey * 2 AS k FROM customer) LEFT JOIN customer ON c_custkey = k""",
+)
+def put_outcomes(spark, d):
+    state = customers(spark, d)
+    requests = state.select((F.col("c_custkey") * 2).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    found = writes.put(state, requests, ["c_custkey"], E.condition("attribute_not_exists(c_custkey) OR c_acctbal < :m", bound={":m": N(1000)}), returns="ALL_OLD")[1]
+    return found.select("c_custkey", "accepted", "existed", F.col("old.c_name").alias("old_name"))
+
+
+@query(
+    "w8_delete_outcomes",
+    """SELECT k AS c_custkey, coalesce(c_acctbal < 5000, FALSE) AS accepted, c_custkey IS NOT NULL AS existed, CASE WHEN c_acctbal < 5000 THEN c_acctbal END AS old_balance
+       FROM (SELECT c_custkey * 3 AS k FROM customer) LEFT JOIN customer ON c_custkey = k""",
+)
+def delete_outcomes(spark, d):
+    state = customers(spark, d)
+    found = writes.delete(state, state.select((F.col("c_custkey") * 3).alias("c_custkey")), ["c_custkey"], E.condition("c_acctbal < :m", bound={":m": N(5000)}), returns="ALL_OLD")[1]
+    return found.select("c_custkey", "accepted", "existed", F.col("old.c_acctbal").alias("old_balance"))
+
+
+#: Two transactions on every pair of customers: the first holds if the first customer is funded, the second always.
+TWO_EACH = """(SELECT p.txn * 2 + o.o AS txn, c_custkey, o.o FROM (SELECT c_custkey, c_custkey // 2 AS txn FROM customer) p, (SELECT unnest([0, 1]) AS o) o)"""
+
+
+def two_transactions(spark, d):
+    state = customers(spark, d)
+    pair = F.floor(F.col("c_custkey") / 2)
+    rule = F.when((F.col("second") == 0) & (F.col("c_custkey") % 2 == 0), F.lit("funded"))
+    both = state.withColumn("second", F.explode(F.array(F.lit(0), F.lit(1))))
+    kind = F.when(F.col("second") == 0, "PUT").otherwise("UPDATE")
+    members = both.select((pair * 2 + F.col("second")).alias("txn"), F.col("c_custkey").alias("ordinal"), kind.alias("kind"), rule.alias("rule"), "c_custkey", F.when(F.col("second") == 0, "put").alias("c_name"), F.lit(7.0).alias("c_acctbal"))
+    return writes.transact(state, members, ["c_custkey"], {"funded": F.col("c_acctbal") > 0}, updates={"c_acctbal": F.col("c_acctbal") + F.col("new.c_acctbal")})
+
+
+FUNDED = "(SELECT c_custkey // 2 AS pair, bool_and(c_custkey % 2 = 1 OR c_acctbal > 0) AS holds FROM customer GROUP BY 1)"
+
+
+@query(
+    "w10_transact_outcomes",
+    f"""SELECT (c_custkey // 2) * 2 + o AS txn, c_custkey, CASE WHEN o = 0 AND c_custkey % 2 = 0 AND c_acctbal <= 0 THEN 'ConditionalCheckFailed' WHEN o = 1 AND holds THEN 'TransactionConflict' ELSE 'None' END AS reason,
+        CASE WHEN o = 0 THEN holds ELSE NOT holds END AS applied FROM customer JOIN {FUNDED} ON pair = c_custkey // 2, (SELECT unnest([0, 1]) AS o)""",
+)
+def transact_outcomes(spark, d):
+    return two_transactions(spark, d)[1].select("txn", "c_custkey", "reason", "applied")
+
+
+@query(
+    "w10_transact_update",
+    f"SELECT c_custkey, CASE WHEN holds THEN 'put' ELSE c_name END AS c_name, CASE WHEN holds THEN 7.0 ELSE c_acctbal + 7.0 END AS c_acctbal FROM customer JOIN {FUNDED} ON pair = c_custkey // 2",
+)
+def transact_update(spark, d):
+    return two_transactions(spark, d)[0].select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("j1_nested_projection", "SELECT o_orderkey, o_totalprice AS price, o_custkey AS buyer, o_orderstatus AS state FROM orders")
+def nested_projection(spark, d):
+    """Two members of one name under two maps keep their places."""
+    nested = t(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").alias("x"), F.lit(1).alias("y")).alias("a"), F.struct(F.col("o_custkey").alias("x"), F.struct(F.col("o_orderstatus").alias("z")).alias("w")).alias("b"))
+    found = reads.scan(Relation(nested, "o_orderkey"), projection="o_orderkey, a.x, b.x, b.w.z").rows()
+    return found.select("o_orderkey", F.col("a.x").alias("price"), F.col("b.x").alias("buyer"), F.col("b.w.z").alias("state"))
+
+
+@query("p1_map_equality", "SELECT o_orderkey, o_orderstatus = 'F' AS is_literal, o_orderstatus = 'F' AS is_other, FALSE AS is_wider FROM orders")
+def map_equality(spark, d):
+    """A map equals another of the same members in any order, and no larger one."""
+    make = lambda *members: F.struct(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in members])
+    own = t(spark, d, "orders").select("o_orderkey", make(("s", "o_orderstatus"), ("n", F.lit(1))).alias("m"), make(("n", F.lit(1)), ("s", F.lit("F"))).alias("f"), F.create_map(F.lit("s"), F.col("o_orderstatus")).alias("g"))
+    compiler = Compiler(own.schema)
+    literal, wider = {"M": {"n": {"N": "1"}, "s": {"S": "F"}}}, {"M": {"s": {"S": "F"}, "t": {"S": "F"}}}
+    test = lambda text, **bound: compiler.condition(E.condition(text, bound={f":{k}": v for k, v in bound.items()} or None))
+    return own.select("o_orderkey", test("m = :l", l=literal).alias("is_literal"), test("m = f").alias("is_other"), test("g = :w", w=wider).alias("is_wider"))
+
+
 @query(
     "w11_replay",
     "SELECT event_id AS token, CASE WHEN event_id % 3 <> 0 OR event_id % 2 = 0 THEN 'NEW' WHEN event_id % 9 = 0 THEN 'MISMATCH' ELSE 'REPLAY' END AS outcome FROM events",
@@ -310,21 +350,6 @@ def capped(spark, d):
 # -- functions ---------------------------------------------------------------------------------------------
 
 
-@query("f5_canonical_number", "SELECT c_custkey, CAST(c_custkey AS VARCHAR) || '.5' AS number, '-0.00' || CAST(c_custkey AS VARCHAR) AS raw FROM customer WHERE c_custkey % 10 <> 0")
-def canonical_number(spark, d):
-    own = t(spark, d, "customer").where("c_custkey % 10 != 0")
-    text = F.col("c_custkey").cast("string")
-    return own.select("c_custkey", numbers.canonical_column(F.concat(F.lit("+00"), text, F.lit(".500e0"))).alias("number"), numbers.canonical_column(F.concat(F.lit("-"), text, F.lit("e-"), (F.length(text) + 2).cast("string"))).alias("raw"))
-
-
-@query("f7_number_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer WHERE c_custkey <= 200")
-def number_order(spark, d):
-    from pyspark.sql import Window
-
-    own = t(spark, d, "customer").where("c_custkey <= 200").withColumn("k", numbers.sort_key_column(F.col("c_acctbal").cast("decimal(20,2)").cast("string")))
-    return own.select("c_custkey", F.row_number().over(Window.orderBy("k", "c_custkey")).cast("long").alias("place"))
-
-
 @query("f10_routing", "SELECT c_custkey, CAST(('0x' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 16))::UBIGINT AS VARCHAR) AS hash, CAST((('0x' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT * 16) >> 32 AS INTEGER) AS part FROM customer")
 def routing(spark, d):
     return t(spark, d, "customer").select("c_custkey", hashing.routing_hash(F.col("c_custkey")).cast("string").alias("hash"), hashing.partition_of(F.col("c_custkey"), 16).alias("part"))
@@ -383,9 +408,12 @@ def receipt_trim(spark, d):
     return indexes.trim_receipts(t(spark, d, "events").withColumnRenamed("ts", "expires_at"), F.lit("2024-01-10").cast("timestamp_ntz")).select("event_id")
 
 
-@query("b14_change_markers", "SELECT CAST(user_id % 256 AS BIGINT) AS slot, event_type, max(event_id) AS latest FROM events GROUP BY 1, 2")
+FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(event_type) + 1), lambda i: CAST(ascii(substr(event_type, i, 1)) AS BIGINT))), lambda h, b: xor(h, b) * 16777619 % 4294967296) % 256"
+
+
+@query("b14_change_markers", f"SELECT CAST({FNV} AS BIGINT) AS slot, event_type, max(event_id) AS latest FROM events GROUP BY 1, 2")
 def markers(spark, d):
-    return history.change_markers(t(spark, d, "events"), "event_type", "event_id", F.col("user_id") % 256)
+    return history.change_markers(t(spark, d, "events"), "event_type", "event_id", hashing.change_slot_column(F.col("event_type")))
 
 
 # -- history and streams -----------------------------------------------------------------------------------------
@@ -418,11 +446,12 @@ def item_history(spark, d):
     return history.item_history(t(spark, d, "events"), {"user_id": 3}, ["event_id"], forward=False, after=5000).select("event_id", "value")
 
 
-@query("t12_append_once", "SELECT event_id FROM events")
+@query("t12_append_once", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS kept_seq, row_number() OVER (ORDER BY event_id % 3 <> 0, event_id) AS place FROM events")
 def append_once(spark, d):
     events = t(spark, d, "events").select("event_id", F.col("event_id").alias("seq"))
     batch = events.where("event_id % 2 = 0").select("event_id").unionByName(events.select("event_id"))
-    return history.append_once(events.where("event_id % 3 = 0"), batch, "event_id", "seq").select("event_id")
+    stream = history.append_once(events.where("event_id % 3 = 0"), batch, "event_id", "seq")
+    return reads.places(stream, ["seq"]).select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("seq")).alias("kept_seq"), "place")
 
 
 @query(
@@ -480,32 +509,6 @@ def queue_cleanup(spark, d):
     return queues.cleanup(messages(spark, d), spark.createDataFrame([("click",)], "queue string"), 700).select("message_id")
 
 
-def topic_tables(spark, d):
-    publications = t(spark, d, "events").select(F.col("event_id").alias("publication_id"), F.col("event_type").alias("topic"), F.col("event_id").alias("accepted_at"))
-    subscriptions = t(spark, d, "customer").where("c_custkey <= 60").join(t(spark, d, "events").select("event_type").distinct(), F.abs(F.xxhash64("event_type") * 0) == F.col("c_custkey") * 0)
-    subscriptions = subscriptions.select(F.concat_ws("-", F.col("c_custkey"), "event_type").alias("subscription_id"), F.col("event_type").alias("topic"), F.lit("sqs").alias("protocol"), F.col("c_name").alias("endpoint"), (F.col("c_custkey") % 3 != 0).alias("confirmed"), (F.col("c_custkey") * 10).alias("subscribed_at"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") * 10 + 100).alias("unsubscribed_at"))
-    return publications, subscriptions
-
-
-FAN_OUT = """(SELECT e.event_id AS publication_id, c.c_custkey || '-' || e.event_type AS subscription_id FROM events e JOIN customer c ON c.c_custkey <= 60 AND c.c_custkey % 3 <> 0
- AND c.c_custkey * 10 <= e.event_id AND (c.c_custkey % 2 <> 0 OR c.c_custkey * 10 + 100 > e.event_id))"""
-
-
-@query("t19_fan_out", f"SELECT publication_id, subscription_id FROM {FAN_OUT} WHERE publication_id <= 1000")
-def fan_out(spark, d):
-    publications, subscriptions = topic_tables(spark, d)
-    return queues.fan_out(publications.where("publication_id <= 1000"), subscriptions).select("publication_id", "subscription_id")
-
-
-@query("t20_settle", f"SELECT publication_id, subscription_id, CASE WHEN publication_id % 2 = 0 THEN 'DELIVERED' ELSE 'RETRY_SCHEDULED' END AS status, CAST(CASE WHEN publication_id % 2 = 0 THEN publication_id ELSE 5000 + 250 END AS BIGINT) AS due_at FROM {FAN_OUT} WHERE publication_id <= 200")
-def settle(spark, d):
-    publications, subscriptions = topic_tables(spark, d)
-    pending = queues.fan_out(publications.where("publication_id <= 200"), subscriptions)
-    claimed = queues.claim(pending, "worker-1", 5000, 1000, 1_000_000)
-    outcomes = claimed.select("delivery_id", "owner", "generation", (F.col("publication_id") % 2 == 0).alias("ok"))
-    return queues.settle(claimed, outcomes, 5000, 250, 3).select("publication_id", "subscription_id", "status", "due_at")
-
-
 # -- further forms -----------------------------------------------------------------------------------------
 
 
@@ -564,10 +567,19 @@ def cursor(spark, d):
     return spark.createDataFrame(rows, "event_id long")
 
 
-@query("t10_pressure", None)
+@query(
+    "t10_pressure",
+    """WITH RECURSIVE l AS (SELECT user_id % 8 AS part, event_id // 100 AS tick, sum(value) / 500.0 AS x FROM events GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY tick) AS n FROM l),
+       c AS (SELECT part, tick, n, x AS e, greatest(-2.0, least(4.0, x - 1)) AS i, CASE WHEN x >= 1 THEN 1 ELSE 0 END AS h, CASE WHEN x <= 0.35 THEN 1 ELSE 0 END AS l FROM s WHERE n = 1
+             UNION ALL SELECT part, tick, n, e, greatest(-2.0, least(4.0, i + e - 1)), CASE WHEN x >= 1 THEN h + 1 ELSE 0 END, CASE WHEN x <= 0.35 THEN l + 1 ELSE 0 END
+             FROM (SELECT s.part, s.tick, s.n, s.x, CASE WHEN c.e <= 0 THEN s.x ELSE 0.4 * s.x + 0.6 * c.e END AS e, c.i, c.h, c.l FROM c JOIN s ON s.part = c.part AND s.n = c.n + 1)),
+       p AS (SELECT part, tick, e + 0.2 * i AS pressure, h, l FROM c)
+       SELECT part, tick, round(pressure, 6) AS pressure, CAST(h AS INTEGER) AS high_streak, CAST(l AS INTEGER) AS low_streak,
+              CASE WHEN h >= 3 AND pressure >= 1.3 THEN 'SPLIT' WHEN l >= 12 AND pressure <= 0.35 THEN 'DRAIN' ELSE 'KEEP' END AS action FROM p""",
+)
 def load_pressure(spark, d):
-    loads = t(spark, d, "events").groupBy((F.col("user_id") % 8).alias("part"), F.floor(F.col("event_id") / 100).alias("at")).agg(F.sum("value").alias("load"))
-    return history.pressure(loads, "part", "at", "load", 500.0)
+    loads = t(spark, d, "events").groupBy((F.col("user_id") % 8).alias("part"), F.floor(F.col("event_id") / 100).alias("tick")).agg(F.sum("value").alias("load"))
+    return history.pressure(loads, "part", "tick", "load", 500.0).select("part", "tick", F.round("pressure", 6).alias("pressure"), "high_streak", "low_streak", "action")
 
 
 @query("b3_build_states", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'BLOCKED' WHEN event_id % 5 = 0 THEN 'SCANNING' WHEN event_id % 3 = 0 THEN 'ACTIVE' ELSE 'CATCHING_UP' END AS phase FROM events")
@@ -588,16 +600,6 @@ def orphans(spark, d):
     return indexes.orphans(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), owners, ["l_orderkey"])
 
 
-@query("t25_notification", """SELECT publication_id, '{"Type":"Notification","MessageId":"' || publication_id || '","TopicArn":"' || e.event_type || '","Message":"m' || e.event_id || '"}' AS body FROM """ + FAN_OUT + """ f JOIN events e ON e.event_id = f.publication_id WHERE publication_id <= 100""")
-def notifications(spark, d):
-    publications, subscriptions = topic_tables(spark, d)
-    publications = publications.where("publication_id <= 100")
-    deliveries = queues.fan_out(publications, subscriptions)
-    texts = publications.select(F.col("publication_id"), F.col("topic"), F.concat(F.lit("m"), F.col("publication_id").cast("string")).alias("message"), F.lit(False).alias("raw"))
-    bodies = queues.notification(deliveries, texts)
-    return bodies.join(deliveries.select("delivery_id", "publication_id"), "delivery_id").select("publication_id", "body")
-
-
 # -- topics, every event and customer ------------------------------------------------------------------------
 
 SETTLED_AT = 10**12  # after every event
@@ -634,6 +636,16 @@ def settle_all(spark, d):
     return queues.settle(claimed, outcomes, SETTLED_AT, 250, 3).select("publication_id", "subscription_id", "status", "due_at")
 
 
+@query("t20_settle_twice", f"SELECT publication_id, subscription_id, CASE WHEN publication_id % 2 = 0 THEN 'DELIVERED' ELSE 'RETRY_SCHEDULED' END AS status, CAST(publication_id % 2 AS INTEGER) AS attempts, TRUE AS unowned, CASE WHEN publication_id % 2 = 1 THEN 'late' END AS last_error FROM {FAN_OUT_ALL}")
+def settle_twice(spark, d):
+    """A repeated outcome and a later, opposite one change nothing."""
+    claimed = queues.claim(queues.fan_out(*all_topic_tables(spark, d)), "worker-1", SETTLED_AT, 1000, None)
+    outcomes = claimed.select("delivery_id", "owner", "generation", (F.col("publication_id") % 2 == 0).alias("ok"), F.lit("late").alias("error"))
+    once = queues.settle(claimed, outcomes, SETTLED_AT, 250, 3)
+    again = queues.settle(once, outcomes.withColumn("ok", ~F.col("ok")), SETTLED_AT + 9, 250, 3)
+    return again.select("publication_id", "subscription_id", "status", "attempts", F.col("owner").isNull().alias("unowned"), "last_error")
+
+
 @query("t25_notification_all", """SELECT publication_id, subscription_id, '{"Type":"Notification","MessageId":"' || publication_id || '","TopicArn":"' || topic || '","Message":"m' || publication_id || '"}' AS body FROM """ + FAN_OUT_ALL)
 def notifications_all(spark, d):
     publications, subscriptions = all_topic_tables(spark, d)
@@ -662,6 +674,22 @@ def null_missing(spark, d):
     return sparse_parts(spark, d, "NULL")
 
 
+@query(
+    "r7_two_parents",
+    """SELECT o_orderkey, c_name FROM (SELECT o_orderkey, 'n' || (SELECT n_name FROM nation WHERE n_nationkey = 3) || '#' || o_custkey AS key FROM orders) o
+       JOIN (SELECT c_name, 'n' || n_name || '#' || c_custkey AS key FROM customer JOIN nation ON n_nationkey = c_nationkey) c USING (key)""",
+)
+def two_parents(spark, d):
+    """A template of an iterated node's value and the single value of another."""
+    nation = Relation(t(spark, d, "nation"), "n_nationkey")
+    orders = Relation(t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer")), "o_orderkey")
+    names = t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    keyed = t(spark, d, "customer").join(names, "c_nationkey").select("c_name", F.concat(F.lit("n"), "n_name", F.lit("#"), F.col("c_custkey").cast("string")).alias("key"))
+    key = Template("n{nation}#{id}", {"nation": From("nation", "n_name"), "id": From("orders", "customer")})
+    nodes = [Node("nation", "GET", nation, {"n_nationkey": 3}), Node("orders", "QUERY", orders), Node("customers", "QUERY", Relation(keyed, "key"), {"key": key}, many=True, limit=100, iterate="orders")]
+    return read_sequence(nodes)["customers"].select(F.col("__parent.o_orderkey").alias("o_orderkey"), "c_name")
+
+
 # -- reference operators over whole tables -----------------------------------------------------------------
 
 
@@ -684,8 +712,9 @@ def dependent_get_all(spark, d):
 @query("r7_string_template_all", "SELECT DISTINCT 'cust#' || o_custkey || '#v1' AS key, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
 def template_all(spark, d):
     keyed = t(spark, d, "customer").withColumn("key", F.concat(F.lit("cust#"), F.col("c_custkey").cast("string"), F.lit("#v1")))
-    key = Template("cust#{id}#v1", {"id": From("orders", "o_custkey")})
-    nodes = [Node("orders", "QUERY", Relation(t(spark, d, "orders"), "o_orderkey")), Node("customers", "BATCH_GET", Relation(keyed, "key"), {"key": key}, many=True)]
+    key = Template("cust#{id}#v1", {"id": From("orders", "customer")})
+    orders = t(spark, d, "orders").withColumn("customer", F.col("o_custkey").cast("string"))
+    nodes = [Node("orders", "QUERY", Relation(orders, "o_orderkey")), Node("customers", "BATCH_GET", Relation(keyed, "key"), {"key": key}, many=True)]
     return read_sequence(nodes)["customers"].select("key", "c_name")
 
 

@@ -91,6 +91,7 @@ def fan_out(publications: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return joined.select(
         F.sha2(F.concat_ws("/", "publication_id", "subscription_id"), 256).alias("delivery_id"), "publication_id", "subscription_id", "protocol", "endpoint",
         F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("generation"), F.lit(None).cast("string").alias("owner"), F.col("accepted_at").alias("due_at"), F.lit(None).cast("long").alias("lease_until"),
+        F.lit(None).cast("string").alias("last_error"), F.col("accepted_at").cast("long").alias("updated_at"),
     )
 
 
@@ -109,13 +110,15 @@ def claim(deliveries: DataFrame, owner: str, now: int, lease_ms: int, most: int
 
 
 def settle(deliveries: DataFrame, outcomes: DataFrame, now: int, base_ms: int, attempts_most: int) -> DataFrame:
-    """outcomes: delivery_id, owner, generation, ok. Only the current claim settles.
+    """outcomes: delivery_id, owner, generation, ok[, error]. Only the current claim settles, and once.
 
     A failure counts an attempt; the last one fails the delivery, others are due again after
-    base * 2^min(attempts - 1, 10).
+    base * 2^min(attempts - 1, 10). A settled delivery has no owner, so that the same outcome
+    given again, or a late one, changes nothing.
     """
-    own = deliveries.join(outcomes.withColumnsRenamed({"owner": "__owner", "generation": "__generation", "ok": "__ok"}), "delivery_id", "left")
-    valid = (F.col("owner") == F.col("__owner")) & (F.col("generation") == F.col("__generation"))
+    given = outcomes if "error" in outcomes.columns else outcomes.withColumn("error", F.lit(None).cast("string"))
+    own = deliveries.join(given.withColumnsRenamed({"owner": "__owner", "generation": "__generation", "ok": "__ok", "error": "__error"}), "delivery_id", "left")
+    valid = (F.col("owner") == F.col("__owner")) & (F.col("generation") == F.col("__generation")) & (F.col("generation") > 0)
     failed = F.coalesce(valid & ~F.col("__ok"), F.lit(False))
     passed = F.coalesce(valid & F.col("__ok"), F.lit(False))
     attempts = F.col("attempts") + F.when(failed, 1).otherwise(0)
@@ -125,6 +128,9 @@ def settle(deliveries: DataFrame, outcomes: DataFrame, now: int, base_ms: int, a
             "status": F.when(passed, "DELIVERED").when(failed & (attempts >= attempts_most), "FAILED").when(failed, "RETRY_SCHEDULED").otherwise(F.col("status")),
             "due_at": F.when(failed & (attempts < attempts_most), (F.lit(now) + wait).cast("long")).otherwise(F.col("due_at")),
             "lease_until": F.when(passed | failed, F.lit(None)).otherwise(F.col("lease_until")).cast("long"),
+            "owner": F.when(~(passed | failed), F.col("owner")),
+            "last_error": F.when(passed, F.lit(None).cast("string")).when(failed, F.coalesce("__error", F.lit("failed"))).otherwise(F.col("last_error")),
+            "updated_at": F.when(passed | failed, F.lit(now).cast("long")).otherwise(F.col("updated_at")),
             "attempts": attempts,
         }
     ).select(*deliveries.columns)

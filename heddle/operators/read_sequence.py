@@ -16,6 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.operators.reads import Relation
 
@@ -51,6 +52,8 @@ class Node:
     many: bool = False
     limit: int | None = None
     after: tuple[str, ...] = ()
+    #: the node whose rows the invocations go over; the others it is bound from have one row each
+    iterate: str | None = None
 
 
 def _inputs(node: Node) -> list[From]:
@@ -102,15 +105,21 @@ def resume(nodes: list[Node], text: str) -> dict[str, Any]:
     return body["at"]
 
 
-def _value(source, parent: str | None) -> Column:
+def _value(source, kinds: dict, single: dict[str, DataFrame]) -> Column:
+    """The bound value; kinds: the types of the parent's columns; single: nodes of one row, where a second one is an error."""
     if isinstance(source, From):
-        found = F.col(f"__parent.{source.column}")
+        found = single[source.node].select(source.column).scalar() if source.node in single else F.col(f"__parent.{source.column}")
         return F.when(found.isNull(), F.raise_error(F.lit(f"{source.node}.{source.column} is missing"))).otherwise(found) if source.missing == "ERROR" else found
     if isinstance(source, Template):
         pieces: list[Column] = []
         at = 0
         for match in TEMPLATE.finditer(source.text):
-            pieces += [F.lit(source.text[at : match.start()]), _value(source.inputs[match[1]], parent).cast("string")]
+            value = _value(source.inputs[match[1]], kinds, single)
+            part = source.inputs[match[1]]
+            kind = single[part.node].schema[part.column].dataType if part.node in single else kinds.get(part.column, T.StringType())
+            if not isinstance(kind, (T.StringType, T.NullType)):
+                raise SequenceError(f"{part.column} is not a string: a template takes no other values")
+            pieces += [F.lit(source.text[at : match.start()]), value]
             at = match.end()
         return F.concat(*pieces, F.lit(source.text[at:]))
     return F.lit(source)
@@ -130,19 +139,20 @@ def read_sequence(nodes: list[Node], consistency: str = "EVENTUAL") -> dict[str,
     for name in (n for wave in schedule(nodes) for n in wave):
         node = by_name[name]
         parents = {f.node for f in _inputs(node)}
-        if len(parents) > 1:
-            raise SequenceError(f"{name} is bound from more than one node")
+        if len(parents) > 1 and node.iterate not in parents:
+            raise SequenceError(f"{name} is bound from several nodes and must name the one it iterates over")
+        over = node.iterate if len(parents) > 1 else next(iter(parents), None)
         if node.kind == "QUERY" and node.many and node.limit is None:
             raise SequenceError(f"{name} iterates and must state a limit")
         if node.limit is not None and not 1 <= node.limit <= CHILD_MOST:
             raise SequenceError("a child limit is 1 to 100")
         if consistency != "EVENTUAL" and node.relation.base_key:
             raise SequenceError("an index is read with eventual consistency")
-        out[name] = _node(node, out[next(iter(parents))] if parents else None, next(iter(parents), None))
+        out[name] = _node(node, out[over] if over else None, {p: out[p] for p in parents - {over}})
     return out
 
 
-def _node(node: Node, parent: DataFrame | None, parent_name: str | None) -> DataFrame:
+def _node(node: Node, parent: DataFrame | None, single: dict[str, DataFrame]) -> DataFrame:
     items, keys = node.relation.items, list(node.key)
     if parent is None:
         own = items
@@ -150,18 +160,19 @@ def _node(node: Node, parent: DataFrame | None, parent_name: str | None) -> Data
             own = own.where(F.col(k).isin(v) if isinstance(v, (list, tuple)) else F.col(k) == F.lit(v))
         if node.limit:
             own = own.orderBy(*node.relation.key).limit(node.limit)
-        return own.withColumn("invocation", F.lit(0).cast("long"))
-    order = [c for c in ("invocation", "ordinal") if c in parent.columns]
-    source = parent.select(F.struct(*[c for c in parent.columns if not c.startswith("__")]).alias("__parent"), *[F.col(c).alias(f"__{c}") for c in order])
+        return own.withColumn("invocation", F.lit(0).cast("long")).withColumn("__order", F.struct(*[F.col(f"`{k}`") for k in node.relation.key]))
+    source = parent.select(F.struct(*[c for c in parent.columns if not c.startswith("__")]).alias("__parent"), F.col("__order").alias("__before"))
+    kinds = {f.name: f.dataType for f in parent.schema.fields}
     bound = source
     for k, v in node.key.items():
-        bound = bound.withColumn(f"__k_{k}", _value(v, parent_name))
+        bound = bound.withColumn(f"__k_{k}", _value(v, kinds, single))
     skipped = [f"__k_{k}" for k, v in node.key.items() if not isinstance(v, From) or v.missing != "NULL"]
     for column in skipped:
         bound = bound.where(F.col(column).isNotNull())
     if node.kind in ("GET", "BATCH_GET"):
-        first = F.row_number().over(Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy(*[f"__{c}" for c in order] or [F.lit(0)], F.to_json("__parent")))
-        bound = bound.withColumn("__n", first).where("__n = 1").drop("__n")
+        # the first invocation of every key, in the order of the rows it was bound from
+        first = F.min_by(F.struct("__parent", "__before"), F.struct("__before", F.to_json("__parent")))
+        bound = bound.groupBy(*[f"__k_{k}" for k in keys]).agg(first.alias("__first")).select(*[f"__k_{k}" for k in keys], "__first.*")
     bound = bound.withColumn("invocation", F.xxhash64(*[F.col(f"__k_{k}") for k in keys], F.to_json("__parent")))
     child = items.select(*[F.col(f"`{c}`").alias(f"__i_{c}") for c in items.columns])  # a node may read its parent's relation
     joined = bound.join(child, [F.col(f"__k_{k}") == F.col(f"__i_{k}") for k in keys], "left" if node.kind == "GET" else "inner")
@@ -169,13 +180,14 @@ def _node(node: Node, parent: DataFrame | None, parent_name: str | None) -> Data
         w = Window.partitionBy("invocation").orderBy(*[f"__i_{k}" for k in node.relation.key])
         joined = joined.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= node.limit).drop("__n")
     shown = [F.coalesce(f"__i_{c}", f"__k_{c}").alias(c) if c in keys and node.kind == "GET" else F.col(f"__i_{c}").alias(c) for c in items.columns]
-    return joined.select(*shown, "invocation", "__parent")
+    order = F.struct(F.col("__before").alias("before"), F.struct(*[F.col(f"__i_{k}").alias(k) for k in node.relation.key]).alias("own")).alias("__order")
+    return joined.select(*shown, "invocation", "__parent", order)
 
 
 def one(rows: DataFrame, missing: str = "ERROR") -> DataFrame:
     """ONE cardinality: fails on more than one row, and on none if missing is ERROR."""
     n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    own = rows.limit(2).withColumn("__n", n)
+    own = rows.limit(2).withColumn("__n", n)  # two rows
     own = own.where(F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one value"))).otherwise(True)).drop("__n")
     if missing == "ERROR" and own.isEmpty():
         raise SequenceError("no value")
@@ -192,7 +204,7 @@ def select(rows: DataFrame, selector: str, order: list[str]) -> DataFrame:
         raise SequenceError(f"not a selector: {selector}")
     own = rows.orderBy(*order)
     if match[2] and match[2] != "*":
-        own = own.withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("__n") == int(match[2]) + 1).drop("__n")
+        own = own.offset(int(match[2])).limit(1)
     value: Column | None = None
     for name, position in re.findall(r"\.(\w+)|\[(\d+)\]", match[3]):
         value = F.try_element_at(value, F.lit(int(position) + 1)) if position else F.col(name) if value is None else value.getField(name)

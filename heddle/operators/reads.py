@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import values
 from heddle.plans import expressions as E
-from heddle.plans.columns import Compiler, key_predicate, project_columns, tag_of
+from heddle.plans.columns import Compiler, _path_tree, key_predicate, project_columns, tag_of
 
 QUERY_LIMIT, QUERY_MOST, SCAN_LIMIT, SCAN_MOST = 100, 10_000, 100, 1_000
 PAGE_BYTES, UNIT_BYTES, BATCH_KEYS, TRANSACTION_KEYS = 1 << 20, 4096, 100, 100
@@ -108,6 +108,17 @@ def batch_get_request(table: Relation, keys: list[dict[str, Any]], projection: l
     return batch_get(table, F.broadcast(small), projection)  # 100 rows at most
 
 
+def transact_get_request(table: Relation, keys: list[dict[str, Any]]) -> DataFrame:
+    """The request form: 1 to 100 distinct keys, given as values."""
+    if not 1 <= len(keys) <= TRANSACTION_KEYS:
+        raise ReadError("a transaction reads 1 to 100 items")
+    rows = [tuple(k[n] for n in table.key) for k in keys]
+    if len(set(rows)) != len(rows):
+        raise ReadError("a key is given twice")
+    kinds = ", ".join(f"`{k}` {table.items.schema[k].dataType.simpleString()}" for k in table.key)
+    return transact_get(table, table.items.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{kinds}, ordinal int"))
+
+
 def transact_get(table: Relation, keys: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """One row per request row, in its order; a missing item leaves nulls."""
     return keys.join(table.items, table.key, "left").orderBy(ordinal)
@@ -119,10 +130,15 @@ def ordered(table: Relation, forward: bool = True) -> list[Column]:
 
 def after(table: Relation, start: dict[str, Any], forward: bool = True) -> Column:
     """Seek: the key tuple is beyond start in the reading direction."""
-    columns = F.struct(*[F.col(f"`{k}`") for k in table.key])
     kinds = {f.name: f.dataType for f in table.items.schema.fields}
-    at = F.struct(*[F.lit(start[k]).cast(kinds[k]).alias(k) for k in table.key])
-    return columns > at if forward else columns < at
+    columns = [F.col(f"`{k}`") for k in table.key]
+    at = [F.lit(start[k]).cast(kinds[k]) for k in table.key]
+    # (a, b) > (x, y) as a >= x AND (a > x OR a = x AND b > y): bare comparisons, which reach the scan
+    beyond = None
+    for column, value in reversed(list(zip(columns, at, strict=True))):
+        further = column > value if forward else column < value
+        beyond = further if beyond is None else further | ((column == value) & beyond)
+    return (columns[0] >= at[0] if forward else columns[0] <= at[0]) & beyond
 
 
 @dataclass
@@ -178,7 +194,10 @@ class Range:
         own = self._selected().orderBy(*ordered(self.table, self.forward)).limit(limit + 1)
         size = size if size is not None else estimated_size(own)
         passes = F.lit(True) if self.filter is None else Compiler(own.schema, self.table.sets).condition(self.filter)
-        rows = own.withColumns({"__size": size, "__pass": passes}).orderBy(*ordered(self.table, self.forward)).collect()
+        order = ordered(self.table, self.forward)
+        # at most ``limit`` + 1 slim rows in one window; rows beyond the first that passes the budget stay where they are
+        before = F.coalesce(F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = own.withColumns({"__size": size, "__pass": passes}).withColumn("__before", before).where(F.col("__before") <= PAGE_BYTES).orderBy(*order).collect()
         taken, used = 0, 0
         for row in rows[:limit]:
             if taken and used + row["__size"] > PAGE_BYTES:
@@ -187,7 +206,8 @@ class Range:
             taken += 1
         evaluated = rows[:taken]
         kept = [r for r in evaluated if r["__pass"]]
-        last = {k: evaluated[-1][k] for k in self.table.key} if taken and taken < len(rows) else None
+        more = taken < len(rows) or used > PAGE_BYTES
+        last = {k: evaluated[-1][k] for k in self.table.key} if taken and more else None
         items = [] if self.select == "COUNT" else [_shown(r.asDict(recursive=True), self.projection) for r in kept]
         units = max(1, -(-used // UNIT_BYTES)) * (1.0 if self.consistent else 0.5)
         return Page(items, len(kept), len(evaluated), last, units)
@@ -197,14 +217,18 @@ def _shown(row: dict, projection: list[tuple] | None) -> dict:
     row = {k: v for k, v in row.items() if not k.startswith("__") and v is not None}
     if not projection:
         return row
-    out = {}
-    for path in projection:
-        found: Any = row
-        for step in path:
-            found = found.get(step) if isinstance(found, dict) else found[step] if isinstance(found, (list, tuple)) and isinstance(step, int) and step < len(found) else None
-        if found is not None:
-            out[next((str(s) for s in reversed(path) if isinstance(s, str)), "")] = found
-    return out
+    return _nested(row, _path_tree(projection)) or {}
+
+
+def _nested(found: Any, tree: dict) -> Any:
+    """What the paths of the tree select, in the shape it has in the item; None if nothing."""
+    if not tree:
+        return found
+    if isinstance(found, dict):
+        return {k: v for k, below in tree.items() if isinstance(k, str) and (v := _nested(found.get(k), below)) is not None} or None
+    if isinstance(found, (list, tuple)):
+        return [v for i, below in sorted((k, b) for k, b in tree.items() if isinstance(k, int)) if i < len(found) and (v := _nested(found[i], below)) is not None] or None
+    return None
 
 
 def _bind(table: Relation, names, bound, filter_text, projection_text, attributes, select):
@@ -219,7 +243,7 @@ def _bind(table: Relation, names, bound, filter_text, projection_text, attribute
     tree = E.condition(filter_text, names, bound, whole=False) if filter_text else None
     paths = E.projection(projection_text, names, whole=False) if projection_text else [(a,) for a in attributes] if attributes else None
     if table.projected is not None:
-        for path in paths or []:
+        for path in [*(paths or []), *(E.attributes(tree) if tree is not None else [])]:
             if path[0] not in table.projected:
                 raise ReadError(f"{path[0]} is not projected into the index")
     return tree, paths, select or ("SPECIFIC_ATTRIBUTES" if paths else "ALL_ATTRIBUTES")

@@ -2,8 +2,8 @@
 
 State and requests are DataFrames of typed columns with a common key; a request row carries
 the item it writes. Conditions are evaluated on the stored item (absent: all null), in one
-left join for the whole batch, so a batch costs one shuffle of the changes and, unless the
-state is bucketed by key, one of the state. Requests must have distinct keys, as batches
+full join for the whole batch that also makes the state after it, so a batch costs one
+shuffle of the changes and, unless the state is bucketed by key, one of the state. Requests must have distinct keys, as batches
 and transactions require; ``latest_requests`` folds a longer log first.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import values
+from heddle.operators.reads import estimated_size
 from heddle.plans import expressions as E
 from heddle.plans.columns import Compiler
 from heddle.plans.evaluate import UpdateError, apply_update, changed, holds
@@ -39,61 +40,76 @@ def latest_requests(requests: DataFrame, key: list[str], seq: str) -> DataFrame:
     return requests.groupBy(*key).agg(F.max_by(F.struct(*columns), seq).alias("r")).select(*key, "r.*")
 
 
-def _observed(state: DataFrame, requests: DataFrame, key: list[str]) -> DataFrame:
-    """Requests beside the stored item: old columns under their names, the request's under new."""
+def _beside(state: DataFrame, requests: DataFrame, key: list[str], name: str = "__new") -> DataFrame:
+    """State and requests in one full join: stored columns under their names, the request's in a struct."""
     columns = [c for c in requests.columns if c not in key]
-    shaped = requests.select(*key, F.struct(*[F.col(c) for c in columns]).alias("__new"), F.lit(True).alias("__request"))
-    return shaped.join(state.withColumn("__stored", F.lit(True)), key, "left")
+    shaped = requests.select(*key, F.struct(*[F.col(c) for c in columns]).alias(name), F.lit(True).alias("__request"))
+    return state.withColumn("__stored", F.lit(True)).join(shaped, key, "full_outer")
 
 
-def _accepts(observed: DataFrame, state: DataFrame, key: list[str], condition, sets=None) -> Column:
+def _accepts(observed: DataFrame, condition, sets=None) -> Column:
+    """Whether a row's request holds; rows without a request are never accepted."""
     if condition is None:
-        return F.lit(True)
+        return F.col("__request").isNotNull()
     # the absent item has no attributes, not even its key
-    shown = observed.schema
-    text = Compiler(shown, sets).condition(condition)
-    missing = holds(condition, {})
-    return F.when(F.col("__stored").isNotNull(), text).otherwise(F.lit(missing))
+    stored = Compiler(observed.schema, sets).condition(condition)
+    return F.when(F.col("__request").isNull(), False).when(F.col("__stored").isNotNull(), stored).otherwise(F.lit(holds(condition, {})))
 
 
-def put(state: DataFrame, requests: DataFrame, key: list[str], condition=None, sets=None) -> tuple[DataFrame, DataFrame]:
+def _outcomes(observed: DataFrame, state: DataFrame, key: list[str], returns: str) -> DataFrame:
+    if returns not in ("NONE", "ALL_OLD"):
+        raise WriteError(f"unknown ReturnValues {returns}")
+    own = observed.where("__request")
+    old = [F.when(F.col("__ok") & F.col("__stored").isNotNull(), F.struct(*state.columns)).alias("old")] if returns == "ALL_OLD" else []
+    return own.select(*key, F.col("__ok").alias("accepted"), F.col("__stored").isNotNull().alias("existed"), *old)
+
+
+def _kept(observed: DataFrame) -> DataFrame:
+    """Rows that exist afterwards: stored ones and accepted requests."""
+    return observed.where(F.col("__stored").isNotNull() | F.col("__ok"))
+
+
+def put(state: DataFrame, requests: DataFrame, key: list[str], condition=None, sets=None, returns: str = "NONE") -> tuple[DataFrame, DataFrame]:
     """(state after, outcomes): whole items replace or join the stored ones where the condition holds.
 
-    outcomes: the key, accepted, existed.
+    outcomes: the key, accepted, existed, and old (the replaced item) with ``returns`` ALL_OLD.
     """
-    observed = _observed(state, requests, key).withColumn("__ok", _accepts(_observed(state, requests, key), state, key, condition, sets))
-    outcomes = observed.select(*key, F.col("__ok").alias("accepted"), F.col("__stored").isNotNull().alias("existed"))
-    puts = observed.where("__ok").select(*key, "__new.*")
-    after = state.join(puts.select(*key), key, "left_anti").unionByName(puts, allowMissingColumns=True)
-    return after, outcomes
+    observed = _beside(state, requests, key)
+    observed = observed.withColumn("__ok", _accepts(observed, condition, sets))
+    new = [c for c in requests.columns if c not in key]
+    old = [c for c in state.columns if c not in key]
+
+    def shown(c: str) -> Column:
+        written = F.col(f"__new.`{c}`") if c in new else F.lit(None)
+        return F.when(F.col("__ok"), written).otherwise(F.col(f"`{c}`") if c in old else F.lit(None)).alias(c)
 
+    order = [*state.columns, *[c for c in new if c not in state.columns]]
+    after = _kept(observed).select(*[F.col(f"`{c}`") if c in key else shown(c) for c in order])
+    return after, _outcomes(observed, state, key, returns)
 
-def delete(state: DataFrame, requests: DataFrame, key: list[str], condition=None, sets=None) -> tuple[DataFrame, DataFrame]:
+
+def delete(state: DataFrame, requests: DataFrame, key: list[str], condition=None, sets=None, returns: str = "NONE") -> tuple[DataFrame, DataFrame]:
     """(state after, outcomes). Deleting what is not there succeeds."""
-    keys = requests.select(*key)
-    observed = keys.join(state.withColumn("__stored", F.lit(True)), key, "left")
-    observed = observed.withColumn("__ok", _accepts(observed, state, key, condition, sets))
-    outcomes = observed.select(*key, F.col("__ok").alias("accepted"), F.col("__stored").isNotNull().alias("existed"))
-    return state.join(observed.where("__ok").select(*key), key, "left_anti"), outcomes
+    marked = requests.select(*key, F.lit(True).alias("__request"))
+    observed = state.withColumn("__stored", F.lit(True)).join(marked, key, "full_outer")
+    observed = observed.withColumn("__ok", _accepts(observed, condition, sets))
+    return observed.where(F.col("__stored").isNotNull() & ~F.col("__ok")).select(*state.columns), _outcomes(observed, state, key, returns)
 
 
-def update_columns(state: DataFrame, requests: DataFrame, key: list[str], assignments: dict[str, Column], condition=None, sets=None) -> tuple[DataFrame, DataFrame]:
+def update_columns(state: DataFrame, requests: DataFrame, key: list[str], assignments: dict[str, Column], condition=None, sets=None, returns: str = "NONE") -> tuple[DataFrame, DataFrame]:
     """Typed upsert: assignments map attributes to columns over the stored attributes and ``new`` (the request).
 
     Assignments are applied in order, each seeing the ones before it; null removes. Keys cannot be assigned.
     """
     if set(assignments) & set(key):
         raise WriteError("key attributes cannot be updated")
-    observed = _observed(state, requests, key).withColumnRenamed("__new", "new")
-    observed = observed.withColumn("__ok", _accepts(observed, state, key, condition, sets))
-    outcomes = observed.select(*key, F.col("__ok").alias("accepted"), F.col("__stored").isNotNull().alias("existed"))
-    own = observed.where("__ok")
+    observed = _beside(state, requests, key, "new")
+    observed = observed.withColumn("__ok", _accepts(observed, condition, sets))
+    outcomes = _outcomes(observed, state, key, returns)
+    own = _kept(observed)
     for name, value in assignments.items():
-        own = own.withColumn(name, value)
-    columns = list(dict.fromkeys([*state.columns, *assignments]))
-    written = own.select(*columns)
-    after = state.join(written.select(*key), key, "left_anti").unionByName(written, allowMissingColumns=True)
-    return after, outcomes
+        own = own.withColumn(name, F.when(F.col("__ok"), value).otherwise(F.col(f"`{name}`") if name in own.columns else F.lit(None)))
+    return own.select(*dict.fromkeys([*state.columns, *assignments])), outcomes
 
 
 def update_items(state: DataFrame, requests: DataFrame, key: list[str], update: str, names=None, bound=None, condition: str | None = None, returns: str = "NONE", item: str = "item") -> DataFrame:
@@ -130,36 +146,74 @@ def update_items(state: DataFrame, requests: DataFrame, key: list[str], update:
 
 
 def batch_write(state: DataFrame, requests: DataFrame, key: list[str], action: str = "action") -> DataFrame:
-    """State after puts and deletes of one batch (column action: PUT or DELETE); a key may occur once."""
-    checked = check_distinct(requests, key)
-    puts = checked.where(F.col(action) == "PUT").drop(action)
-    return state.join(checked.select(*key), key, "left_anti").unionByName(puts, allowMissingColumns=True)
-
-
-def transact(state: DataFrame, members: DataFrame, key: list[str], conditions: dict[str, Column], *, txn: str = "txn", kind: str = "kind", rule: str = "rule") -> tuple[DataFrame, DataFrame]:
+    """State after puts and deletes of one batch of any size (column action: PUT or DELETE); a key may occur once."""
+    own = check_distinct(requests, key)
+    new = [c for c in requests.columns if c not in (*key, action)]
+    observed = _beside(state, own, key)
+    kept = observed.where(F.col("__request").isNull() | (F.col(f"__new.`{action}`") == "PUT"))
+    pick = lambda c: F.when(F.col("__request").isNull(), F.col(f"`{c}`")).otherwise(F.col(f"__new.`{c}`") if c in new else F.lit(None)).alias(c)
+    return kept.select(*[F.col(f"`{c}`") if c in key else pick(c) for c in state.columns])
+
+
+def batch_write_request(state: DataFrame, requests: list[dict], key: list[str], action: str = "action") -> DataFrame:
+    """The request form: 1 to 25 puts and deletes given as values, of at most 400 KiB each."""
+    if not 1 <= len(requests) <= BATCH_MOST:
+        raise WriteError("a batch has 1 to 25 requests")
+    if any(r[action] not in ("PUT", "DELETE") for r in requests):
+        raise WriteError("a batch holds puts and deletes")
+    if len({tuple(r[k] for k in key) for r in requests}) < len(requests):
+        raise WriteError("two requests on one item")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
+    rows = state.sparkSession.createDataFrame([tuple(r.get(c) for c in (*state.columns, action)) for r in requests], f"{kinds}, `{action}` string")
+    if rows.agg(F.max(estimated_size(rows.drop(action)))).first()[0] > ITEM_BYTES:
+        raise WriteError("an item is larger than 400 KiB")
+    return batch_write(state, rows, key, action)
+
+
+def transact(
+    state: DataFrame, members: DataFrame, key: list[str], conditions: dict[str, Column], *, updates: dict[str, Column] | None = None, txn: str = "txn", kind: str = "kind", rule: str = "rule",
+) -> tuple[DataFrame, DataFrame]:
     """All-or-nothing batches over one snapshot: (state after, a row per member with its reason).
 
-    members: txn, ordinal, kind (PUT, DELETE, CHECK), rule (a name in ``conditions``, or null),
-    the key and the new item's columns. conditions: columns over the stored attributes. Two
-    members of a transaction on one item, or two applied transactions on one item, fail it.
+    members: txn, ordinal, kind (PUT, UPDATE, DELETE, CHECK), rule (a name in ``conditions``, or
+    null), the key and the new item's columns. conditions: columns over the stored attributes.
+    updates: for UPDATE members, attributes as columns over the stored ones and ``new`` (the
+    member); without it they take the member's columns that are not null. Two members of a
+    transaction on one item fail it. Of the transactions whose own conditions hold and that
+    write one item, the first has it and the others fail with a conflict. More than 100 members
+    or 4 MiB of new items fail a transaction; an unknown kind or rule is an error.
     """
     columns = [c for c in state.columns if c not in key]
-    own = members.select(txn, "ordinal", kind, rule, *key, F.struct(*[F.col(c) for c in columns]).alias("new"))
+    known = F.col(kind).isin("PUT", "UPDATE", "DELETE", "CHECK") & (F.col(rule).isNull() | F.col(rule).isin(list(conditions)))
+    # a filter, which no pruning removes
+    checked = members.where(F.when(~F.coalesce(known, F.lit(False)), F.raise_error(F.concat(F.lit("unknown kind or rule: "), F.coalesce(kind, F.lit("null")), F.lit(" "), F.coalesce(rule, F.lit("null"))))).otherwise(True))
+    size = F.when(F.col(kind).isin("PUT", "UPDATE"), estimated_size(members.select(*key, *columns))).otherwise(0)
+    own = checked.select(txn, "ordinal", kind, rule, *key, F.struct(*[F.col(c) for c in columns]).alias("new"), size.alias("__size"))
     seen = own.join(state.withColumn("__stored", F.lit(True)), key, "left")
     passed = F.lit(True)
     for name, condition in conditions.items():
         passed = F.when(F.col(rule) == name, F.coalesce(condition, F.lit(False))).otherwise(passed)
+    whole = Window.partitionBy(txn)
     twice = F.count("*").over(Window.partitionBy(txn, *key)) > 1
-    # among transactions that write one item the first wins
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.when(F.col(kind) == "CHECK", 1).otherwise(0), txn, "ordinal"))
-    conflict = (rank > 1) & (F.col(kind) != "CHECK")
-    judged = seen.withColumn("reason", F.when(twice, "DuplicateItem").when(~passed, "ConditionalCheckFailed").when(conflict, "TransactionConflict").otherwise("None"))
-    verdict = judged.groupBy(txn).agg(F.bool_and(F.col("reason") == "None").alias("applied"), F.count("*").alias("__n"))
-    verdict = verdict.withColumn("applied", F.col("applied") & (F.col("__n") <= TRANSACTION_MOST)).drop("__n")
-    outcome = judged.join(verdict, txn)
+    judged = seen.withColumn("__twice", twice).withColumn("__passed", passed)
+    fits = (F.count("*").over(whole) <= TRANSACTION_MOST) & (F.sum("__size").over(whole) <= TRANSACTION_BYTES)
+    judged = judged.withColumn("__alone", F.min(F.col("__passed") & ~F.col("__twice")).over(whole) & fits).withColumn("__fits", fits)
+    # among the transactions that hold by themselves and write one item the first has it
+    contends = F.col("__alone") & (F.col(kind) != "CHECK")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(contends.desc(), txn, "ordinal"))
+    conflict = contends & (rank > 1)
+    reason = F.when(F.col("__twice"), "DuplicateItem").when(~F.col("__fits"), "TooLarge").when(~F.col("__passed"), "ConditionalCheckFailed").when(conflict, "TransactionConflict").otherwise("None")
+    judged = judged.withColumn("reason", reason)
+    outcome = judged.withColumn("applied", F.min(F.col("reason") == "None").over(whole))
     writes = outcome.where(F.col("applied") & (F.col(kind) != "CHECK"))
-    puts = writes.where(F.col(kind) == "PUT").select(*key, "new.*")
-    after = state.join(writes.select(*key), key, "left_anti").unionByName(puts.select(*state.columns))
+
+    def written(c: str) -> Column:
+        updated = (updates[c] if c in updates else F.col(f"`{c}`")) if updates is not None else F.coalesce(F.col(f"new.`{c}`"), F.col(f"`{c}`"))
+        return F.when(F.col(kind) == "UPDATE", updated).otherwise(F.col(f"new.`{c}`")).alias(c)
+
+    changes = writes.select(*key, F.struct(F.col(kind).alias("kind"), *[written(c) for c in columns]).alias("__new"), F.lit(True).alias("__request"))
+    beside = state.withColumn("__stored", F.lit(True)).join(changes, key, "full_outer").where(F.col("__request").isNull() | (F.col("__new.kind") != "DELETE"))
+    after = beside.select(*[F.col(f"`{c}`") if c in key else F.when(F.col("__request").isNull(), F.col(f"`{c}`")).otherwise(F.col(f"__new.`{c}`")).alias(c) for c in state.columns])
     return after, outcome.select(txn, "ordinal", *key, "reason", "applied")
 
 

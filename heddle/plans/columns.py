@@ -115,9 +115,64 @@ class Compiler:
         if a[1] in ("SS", "NS", "BS"):
             return F.array_sort(a[0]) == F.array_sort(b[0])
         if a[1] == "M":
-            return F.to_json(a[0]) == F.to_json(b[0]) if b[2] is not None else F.lit(False)
+            return self._same_maps(a[0], a[2], b[0], b[2]) if b[2] is not None else self._map_is(a[0], a[2], right.value)
         return a[0] == b[0]
 
+    def _same(self, a: Column, a_kind: T.DataType, b: Column, b_kind: T.DataType) -> Column:
+        """Equality of two values that may both be absent."""
+        if tag_of(a_kind) != tag_of(b_kind):
+            return a.isNull() & b.isNull()
+        if tag_of(a_kind) == "M":
+            return (a.isNull() & b.isNull()) | F.coalesce(self._same_maps(a, a_kind, b, b_kind), F.lit(False))
+        return a.eqNullSafe(b)
+
+    def _same_maps(self, a: Column, a_kind: T.DataType, b: Column, b_kind: T.DataType) -> Column:
+        """Equality of two maps, whatever the order of their members; a null member is absent. Null if either is null."""
+        if isinstance(a_kind, T.MapType) and isinstance(b_kind, T.MapType):
+            live = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+            entries = lambda m: F.array_sort(F.map_entries(live(m)))
+            return entries(a) == entries(b) if tag_of(a_kind.valueType) == tag_of(b_kind.valueType) else (F.size(live(a)) == 0) & (F.size(live(b)) == 0)
+        if isinstance(a_kind, T.MapType):
+            return self._same_maps(b, b_kind, a, a_kind)
+        fields = {f.name: f.dataType for f in a_kind.fields}
+        if isinstance(b_kind, T.MapType):
+            others = F.size(F.map_filter(b, lambda k, v: v.isNotNull() & ~k.isin(list(fields)))) == 0
+            same = others
+            for name, kind in fields.items():
+                same = same & self._same(a.getField(name), kind, F.try_element_at(b, F.lit(name)), b_kind.valueType)
+        else:
+            theirs = {f.name: f.dataType for f in b_kind.fields}
+            same = F.lit(True)
+            for name in dict.fromkeys([*fields, *theirs]):
+                if name in fields and name in theirs:
+                    same = same & self._same(a.getField(name), fields[name], b.getField(name), theirs[name])
+                else:
+                    same = same & (a.getField(name) if name in fields else b.getField(name)).isNull()
+        return F.when(a.isNotNull() & b.isNotNull(), same)
+
+    def _map_is(self, column: Column, kind: T.DataType, value: values.Value) -> Column:
+        """Equality with a literal map, member by member; a null member of the column is absent."""
+        inner = value["M"]
+        if isinstance(kind, T.StructType):
+            fields = {f.name: f.dataType for f in kind.fields}
+            same = F.lit(set(inner) <= set(fields))
+            for name, own in fields.items():
+                member = column.getField(name)
+                same = same & (self._is(member, own, inner[name]) if name in inner else member.isNull())
+        else:
+            same = F.size(F.map_filter(column, lambda _, v: v.isNotNull())) == len(inner)
+            for name, member in inner.items():
+                same = same & self._is(F.try_element_at(column, F.lit(name)), kind.valueType, member)
+        return F.when(column.isNotNull(), same)
+
+    def _is(self, column: Column, kind: T.DataType, value: values.Value) -> Column:
+        tag = values.tag(value)
+        if tag == "NULL" or tag != tag_of(kind) and not {tag, tag_of(kind)} <= {"L", "SS", "NS", "BS"}:
+            return F.lit(False)  # a typed column holds no null value: null is absence
+        if tag == "M":
+            return F.coalesce(self._map_is(column, kind, value), F.lit(False))
+        return F.coalesce(column == self._literal(value, kind), F.lit(False))
+
     def _ordered(self, left, right, op: str) -> Column:
         a, b = self._side(left), self._side(right)
         if a is None or b is None:
@@ -246,14 +301,39 @@ def key_predicate(key: KeyCondition, schema: T.StructType, hash_key: str, range_
 
 
 def project_columns(df: DataFrame, paths: list[tuple]) -> DataFrame:
-    """Typed projection: top-level attributes as they are, nested ones under their last name."""
-    own = Compiler(df.schema)
-    out = []
+    """Typed projection that keeps the nesting: ``a.x, b.x`` gives a struct a and a struct b, each with its x.
+
+    Members of a list keep their order and close ranks. An attribute that is not there is null.
+    """
+    return df.select(*[_projected(Compiler(df.schema), (name,), below).alias(name) for name, below in _path_tree(paths).items()])
+
+
+def _path_tree(paths: list[tuple]) -> dict:
+    """Steps to subtrees in the order given; an empty one is a whole value."""
+    root: dict = {}
     for path in paths:
-        found = own.attribute(path)
-        name = next((str(s) for s in reversed(path) if isinstance(s, str)), path[0])
-        out.append((found[0] if found else F.lit(None).cast("string")).alias(name))
-    return df.select(*out)
+        level = root
+        for step in path:
+            level = level.setdefault(step, {})
+    return root
+
+
+def _projected(own: Compiler, path: tuple, below: dict) -> Column:
+    found = own.attribute(path)
+    if found is None:
+        return F.lit(None).cast("string")
+    if not below:
+        return found[0]
+    if all(isinstance(step, int) for step in below):
+        return F.when(found[0].isNotNull(), F.array_compact(F.array(*[_projected(own, (*path, i), below[i]) for i in sorted(below)])))
+    members = {name: tree for name, tree in below.items() if isinstance(name, str) and own.attribute((*path, name)) is not None}
+    made = [_projected(own, (*path, name), tree).alias(name) for name, tree in members.items()]
+    if not made:
+        return F.lit(None).cast("string")
+    some = made[0].isNotNull()
+    for member in made[1:]:
+        some = some | member.isNotNull()
+    return F.when(some, F.struct(*made))
 
 
-__all__ = ["Attribute", "Compiler", "key_predicate", "project_columns", "tag_of"]
+__all__ = ["Attribute", "Compiler", "_path_tree", "key_predicate", "project_columns", "tag_of"]

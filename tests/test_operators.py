@@ -296,3 +296,171 @@ def test_missing_inputs_are_skipped_or_null_beside_rows_that_have_them(spark, tm
     run = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
     assert run("r4_skip_missing") == {(0, "b0"), (3, "b3"), (6, None)}
     assert run("r4_null_missing") == {(0, "b0"), (3, "b3"), (6, None), (None, None)}
+
+
+def test_a_settled_delivery_is_not_settled_again(spark):
+    pubs = spark.createDataFrame([("p", "t", 5)], "publication_id string, topic string, accepted_at long")
+    subs = spark.createDataFrame([("s", "t", "sqs", "q", True, 0, None)], "subscription_id string, topic string, protocol string, endpoint string, confirmed boolean, subscribed_at long, unsubscribed_at long")
+    claimed = queues.claim(queues.fan_out(pubs, subs), "w", 10, 100, 5)
+    outcome = lambda ok: claimed.select("delivery_id", "owner", "generation", F.lit(ok).alias("ok"), F.lit("no answer").alias("error"))
+    failed = queues.settle(claimed, outcome(False), 20, 10, 3)
+    row = queues.settle(failed, outcome(False), 21, 10, 3).first()
+    assert (row.status, row.attempts, row.owner, row.last_error, row.updated_at, row.due_at) == ("RETRY_SCHEDULED", 1, None, "no answer", 20, 30)
+    done = queues.settle(claimed, outcome(True), 20, 10, 3)
+    row = queues.settle(done, outcome(False), 21, 10, 3).first()
+    assert (row.status, row.attempts, row.last_error, row.updated_at) == ("DELIVERED", 0, None, 20)
+    unclaimed = queues.fan_out(pubs, subs).withColumn("owner", F.lit("w"))
+    assert queues.settle(unclaimed, unclaimed.select("delivery_id", "owner", "generation", F.lit(True).alias("ok")), 20, 10, 3).first().status == "PENDING"
+
+
+def test_a_failed_transaction_takes_no_item(spark):
+    state = spark.createDataFrame([(1, 10, "a"), (2, 0, "b")], "id int, n int, s string")
+    rows = [("t1", 0, "PUT", None, 1, 5, "x"), ("t1", 1, "PUT", "positive", 2, 5, "x"), ("t2", 0, "UPDATE", "positive", 1, 7, None), ("t3", 0, "UPDATE", None, 1, 9, None), ("t4", 0, "UPDATE", None, 9, 4, None)]
+    members = spark.createDataFrame(rows, "txn string, ordinal int, kind string, rule string, id int, n int, s string")
+    after, outcome = writes.transact(state, members, ["id"], {"positive": F.col("n") > 0})
+    assert {(r.id, r.n, r.s) for r in after.collect()} == {(1, 7, "a"), (2, 0, "b"), (9, 4, None)}
+    assert {(r.txn, r.ordinal): (r.reason, r.applied) for r in outcome.collect()} == {("t1", 0): ("None", False), ("t1", 1): ("ConditionalCheckFailed", False), ("t2", 0): ("None", True), ("t3", 0): ("TransactionConflict", False), ("t4", 0): ("None", True)}
+    for bad in ({"rule": "no such rule"}, {"kind": "UPSERT"}):
+        changed = members.withColumns({k: F.lit(v) for k, v in bad.items()})
+        with pytest.raises(Exception, match="unknown kind or rule"):
+            writes.transact(state, changed, ["id"], {"positive": F.col("n") > 0})[0].collect()
+    many = spark.range(101).selectExpr("'t' AS txn", "CAST(id AS int) AS ordinal", "'PUT' AS kind", "CAST(NULL AS string) AS rule", "CAST(id AS int) AS id", "1 AS n", "'x' AS s")
+    assert writes.transact(state, many, ["id"], {})[0].count() == 2
+    large = many.where("id < 20").withColumn("s", F.repeat(F.lit("y"), 300_000))
+    assert {r.reason for r in writes.transact(state, large, ["id"], {})[1].collect()} == {"TooLarge"}
+
+
+def test_writes_shuffle_the_state_once_and_return_old_items(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        state = spark.range(50).selectExpr("CAST(id AS int) AS id", "CAST(id AS int) AS n")
+        requests = spark.range(40, 60).selectExpr("CAST(id AS int) AS id", "-1 AS n")
+        rule = E.condition("n < :n", bound={":n": {"N": "45"}})
+        after, outcome = writes.put(state, requests, ["id"], rule, returns="ALL_OLD")
+        plan = after._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Join") == 1
+        assert {(r.id, r.n) for r in after.collect()} == {(i, -1 if 40 <= i < 45 else i) for i in range(50)}
+        assert {r.id: r.old and r.old.n for r in outcome.collect()} == {i: i if i < 45 else None for i in range(40, 60)}
+        after, outcome = writes.delete(state, requests, ["id"], rule, returns="ALL_OLD")
+        assert after.count() == 45 and {r.id: r.accepted for r in outcome.collect()} == {i: i < 45 for i in range(40, 60)}
+        after, _ = writes.update_columns(state, requests, ["id"], {"n": F.coalesce("n", F.lit(0)) + 100, "m": F.col("new.n")})
+        assert {(r.id, r.n, r.m) for r in after.collect()} == {(i, i, None) for i in range(40)} | {(i, i + 100 if i < 50 else 100, -1) for i in range(40, 60)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_request_forms_keep_their_limits(spark):
+    state = spark.createDataFrame([(1, "a")], "id int, s string")
+    assert {(r.id, r.s) for r in writes.batch_write_request(state, [{"action": "PUT", "id": 2, "s": "b"}, {"action": "DELETE", "id": 1}], ["id"]).collect()} == {(2, "b")}
+    for bad in ([], [{"action": "PUT", "id": i} for i in range(26)], [{"action": "PUT", "id": 1}, {"action": "DELETE", "id": 1}], [{"action": "PUT", "id": 1, "s": "x" * 500_000}], [{"action": "ADD", "id": 1}]):
+        with pytest.raises(writes.WriteError):
+            writes.batch_write_request(state, bad, ["id"])
+    table = reads.Relation(state, "id")
+    assert [(r.id, r.s) for r in reads.transact_get_request(table, [{"id": 5}, {"id": 1}]).collect()] == [(5, None), (1, "a")]
+    with pytest.raises(reads.ReadError):
+        reads.transact_get_request(table, [{"id": i} for i in range(101)])
+
+
+def test_maps_are_equal_by_their_members(spark):
+    from heddle.plans.columns import Compiler
+
+    rows = [(1, (5, "x"), ("x", 5), {"a": 5}), (2, (5, None), (None, 5), {"a": 5, "b": None}), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, m struct<n:int,s:string>, f struct<s:string,n:int>, g map<string,int>")
+    test = lambda text, value=None: {r.id: r.c for r in df.select("id", Compiler(df.schema).condition(E.condition(text, bound={":v": value} if value else None)).alias("c")).collect()}
+    assert test("m = :v", {"M": {"s": {"S": "x"}, "n": {"N": "5"}}}) == {1: True, 2: False, 3: False}
+    assert test("m = :v", {"M": {"n": {"N": "5"}}}) == {1: False, 2: True, 3: False}
+    assert test("m = :v", {"M": {"n": {"S": "5"}}}) == {1: False, 2: False, 3: False}
+    assert test("g = :v", {"M": {"a": {"N": "5"}}}) == {1: True, 2: True, 3: False}
+    assert test("m = f") == {1: True, 2: True, 3: False}
+    assert test("m <> :v", {"M": {"n": {"N": "5"}, "s": {"S": "x"}}}) == {1: False, 2: True, 3: True}
+
+
+def test_projections_keep_the_nesting(spark):
+    df = spark.createDataFrame([(1, (1, 2), ((7,), 8), [10, 20, 30]), (2, None, None, None)], "id int, a struct<x:int,y:int>, b struct<w:struct<z:int>,x:int>, l array<int>")
+    table = reads.Relation(df, "id")
+    rows = reads.scan(table, projection="id, a.x, b.x, b.w.z, l[2], l[0], nothing").rows().collect()
+    assert rows[0].a.asDict() == {"x": 1} and rows[0].b.asDict(recursive=True) == {"x": 8, "w": {"z": 7}} and rows[0].l == [10, 30] and rows[0].nothing is None
+    assert rows[1].a is None and rows[1].b is None and rows[1].l is None
+    page = reads.scan(table, projection="id, a.x, b.x, b.w.z, l[2], l[0]").page()
+    assert page.items == [{"id": 1, "a": {"x": 1}, "b": {"x": 8, "w": {"z": 7}}, "l": [10, 30]}, {"id": 2}]
+
+
+def test_a_filter_on_what_an_index_leaves_out_is_an_error(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "id int, n int, hidden int")
+    index = reads.Relation(df, "n", base_key=("id",), projected=("id", "n"))
+    with pytest.raises(reads.ReadError, match="hidden"):
+        reads.query(index, "n = :n", bound={":n": {"N": "2"}, ":h": {"N": "3"}}, filter="size(hidden) > :h OR NOT hidden = :h")
+    assert reads.query(index, "n = :n", bound={":n": {"N": "2"}, ":h": {"N": "1"}}, filter="id >= :h").rows().count() == 1
+
+
+def test_a_seek_reaches_the_scan_and_a_page_collects_its_budget(spark, tmp_path):
+    spark.range(2000).selectExpr("id % 5 AS pk", "id AS sk", "repeat('x', 2000) AS body").write.parquet(f"{tmp_path}/t")
+    table = reads.Relation(spark.read.parquet(f"{tmp_path}/t"), "pk", "sk")
+    own = reads.scan(table, start={"pk": 3, "sk": 1000})
+    assert "GreaterThanOrEqual(pk,3)" in own.rows()._jdf.queryExecution().executedPlan().toString()
+    assert {(r.pk, r.sk) for r in own.rows().collect()} == {(i % 5, i) for i in range(2000) if (i % 5, i) > (3, 1000)}
+    back = reads.query(table, "pk = :p", bound={":p": {"N": "3"}}, forward=False, start={"pk": 3, "sk": 1000})
+    assert [r.sk for r in back.rows().collect()] == [i for i in range(999, -1, -1) if i % 5 == 3]
+    page = reads.scan(table).page(most=1000)
+    assert page.last_key is not None and page.scanned <= 100
+    seen, start, pages = [], None, 0
+    while True:
+        page = reads.query(table, "pk = :p", bound={":p": {"N": "1"}}, start=start, limit=10_000).page()
+        seen += [i["sk"] for i in page.items]
+        start, pages = page.last_key, pages + 1
+        if start is None:
+            break
+    assert seen == list(range(1, 2000, 5)) and pages == 1
+
+
+def test_pages_stop_after_one_mebibyte(spark):
+    df = spark.range(30).selectExpr("1 AS pk", "id AS sk", "repeat('x', 100000) AS body")
+    table, start, sizes = reads.Relation(df, "pk", "sk"), None, []
+    while True:
+        page = reads.query(table, "pk = :p", bound={":p": {"N": "1"}}, start=start).page()
+        sizes.append(page.scanned)
+        if (start := page.last_key) is None:
+            break
+    assert sum(sizes) == 30 and sizes == [10, 10, 10]
+
+
+def test_the_first_invocation_of_a_key_survives(spark):
+    parents = reads.Relation(spark.createDataFrame([(1, "k", "zz"), (2, "k", "aa"), (3, "j", "mm")], "id int, wanted string, mark string"), "id")
+    child = reads.Relation(spark.createDataFrame([("k", 1), ("j", 2)], "pk string, n int"), "pk")
+    nodes = [read_sequence.Node("a", "QUERY", parents), read_sequence.Node("b", "GET", child, {"pk": read_sequence.From("a", "wanted")}, many=True)]
+    rows = {r.pk: r.m for r in read_sequence.read_sequence(nodes)["b"].select("pk", F.col("__parent.mark").alias("m")).collect()}
+    assert rows == {"k": "zz", "j": "mm"}
+    with pytest.raises(read_sequence.SequenceError, match="not a string"):
+        read_sequence.read_sequence([nodes[0], read_sequence.Node("b", "GET", child, {"pk": read_sequence.Template("x{i}", {"i": read_sequence.From("a", "id")})}, many=True)])
+
+
+def test_a_node_bound_from_two_others(spark):
+    orgs = reads.Relation(spark.createDataFrame([("o1", "red"), ("o2", "blue")], "org string, colour string"), "org")
+    users = reads.Relation(spark.createDataFrame([("u1",), ("u2",)], "user string"), "user")
+    seats = reads.Relation(spark.createDataFrame([("red#u1", 1), ("red#u2", 2), ("blue#u1", 3)], "pk string, seat int"), "pk")
+    key = read_sequence.Template("{c}#{u}", {"c": read_sequence.From("org", "colour"), "u": read_sequence.From("users", "user")})
+    node = lambda **more: read_sequence.Node("seats", "GET", seats, {"pk": key}, many=True, **more)
+    first = [read_sequence.Node("org", "GET", orgs, {"org": "o1"}), read_sequence.Node("users", "QUERY", users)]
+    assert {(r.pk, r.seat) for r in read_sequence.read_sequence([*first, node(iterate="users")])["seats"].collect()} == {("red#u1", 1), ("red#u2", 2)}
+    with pytest.raises(read_sequence.SequenceError, match="must name"):
+        read_sequence.read_sequence([*first, node()])
+    both = [read_sequence.Node("org", "QUERY", orgs), first[1], node(iterate="users")]
+    with pytest.raises(Exception, match="(?i)more than one row|too_many_rows"):
+        read_sequence.read_sequence(both)["seats"].collect()
+
+
+def test_pressure_follows_the_controller(spark):
+    from heddle.functions import hashing
+
+    loads = [150.0, 300.0, 20.0, 10.0, 500.0, 400.0, 390.0, 380.0, 5.0] + [1.0] * 30
+    rows = {r["at"]: r for r in history.pressure(spark.createDataFrame([("p", i, x) for i, x in enumerate(loads)], "part string, at int, load double"), "part", "at", "load", 100.0).collect()}
+    smooth, total, high, low = 0.0, 0.0, 0, 0
+    for i, x in enumerate(v / 100 for v in loads):
+        smooth = x if smooth <= 0 else 0.4 * x + 0.6 * smooth
+        total = min(4.0, max(-2.0, total + smooth - 1))
+        high, low = (high + 1, 0) if x >= 1 else (0, low + 1) if x <= 0.35 else (0, 0)
+        want = "SPLIT" if high >= 3 and smooth + 0.2 * total >= 1.3 else "DRAIN" if low >= 12 and smooth + 0.2 * total <= 0.35 else "KEEP"
+        assert (rows[i].high_streak, rows[i].low_streak, rows[i].action) == (high, low, want) and rows[i].pressure == pytest.approx(smooth + 0.2 * total)
+    texts = ["", "a", "orders", "é漢"]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", hashing.change_slot_column(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == {x: hashing.change_slot(x) for x in texts}
