@@ -8,9 +8,10 @@ block meets every shard once, in tasks that hold one of each.
 For a query, dimension d can add at most U_d = the largest q_d * x_d of the shard, if
 positive. The non-essential dimensions are the longest run of smallest bounds whose sum
 stays below the query's threshold: a row that gains nothing from an essential one cannot
-reach it. The essential dimensions' lists of the sign that gains are traversed; rows that
-may still reach the threshold are probed, first for what the essential dimensions take
-away, then for the others in falling order of bound, while they can. The shards' best rows
+reach it. The essential dimensions' lists of the sign that gains are traversed. For rows
+that may still reach the threshold, what the essential dimensions take away follows, from the
+lists of the other sign or, if few rows are left, by probing them; then the others are probed
+in falling order of bound, while a row can reach it. The shards' best rows
 are merged last.
 
 Thresholds are the k-th best score in a bounded sample of candidates (``SAMPLE``), a lower
@@ -129,17 +130,21 @@ class Shard:
         self.begin = np.concatenate(([0], self.ends[:-1])) if len(self.ends) else self.ends
         self.width = (len(self.starts) - 1) // 2
         lists = [self.posted[a:b] for a, b in zip(self.starts, self.starts[1:], strict=False)]
-        self.low = np.array([int(x.min()) if len(x) else 0 for x in lists[::2]], object)
-        self.high = np.array([int(x.max()) if len(x) else 0 for x in lists[1::2]], object)
+        self.low = np.array([x.min() if len(x) else 0 for x in lists[::2]], np.int64)
+        self.high = np.array([x.max() if len(x) else 0 for x in lists[1::2]], np.int64)
+        self.most = np.maximum(self.high.astype(float), -self.low.astype(float))
+        self.even = len(self.ids) * self.width == len(self.values) and self.width > 0
 
     def wide(self) -> Shard:
         """The same shard over Python's integers."""
         if self.values.dtype != object:
-            self.values, self.posted = self.values.astype(object), self.posted.astype(object)
+            self.values, self.posted, self.low, self.high = (x.astype(object) for x in (self.values, self.posted, self.low, self.high))
         return self
 
     def at(self, rows: np.ndarray, d: int) -> np.ndarray:
         """Component d of the rows; 0 beyond a row's end."""
+        if self.even:  # all vectors have one length
+            return self.values[rows * self.width + d]
         place = self.begin[rows] + d
         inside = place < self.ends[rows]
         out = self.values[np.where(inside, place, 0)] if len(self.values) else np.zeros(len(rows), np.int64)
@@ -149,25 +154,32 @@ class Shard:
 def search(shard: Shard, query_id: int, query: np.ndarray, theta: int, k: int) -> list[tuple[int, int, bool]]:
     """The shard's k best (score, id, whether it equals the query) of those that reach theta; more where they tie."""
     width = min(shard.width, len(query))
-    q = query[:width].astype(object)
-    gain = np.array([max(x * h, x * w) for x, h, w in zip(q, shard.high[:width], shard.low[:width], strict=True)], object)
-    most = sum(abs(x) * max(h, -w) for x, h, w in zip(q, shard.high[:width], shard.low[:width], strict=True))
-    if most >= 2**62 or abs(theta) > 2**62:
+    if np.abs(query[:width].astype(float)) @ shard.most[:width] >= 2.0**61:
         shard = shard.wide()
     kind = shard.values.dtype
-    order = sorted(range(width), key=lambda d: gain[d])
-    rest, split = 0, 0
-    while theta > 0 and split < width and rest + gain[order[split]] < theta:
-        rest += gain[order[split]]
-        split += 1
-    essential, others = [d for d in order[split:] if q[d]], [d for d in reversed(order[:split]) if q[d]]
+    q = query[:width].astype(kind)
+    gain = np.maximum(np.maximum(q * shard.high[:width], q * shard.low[:width]), 0)
+    order = np.argsort(gain, kind="stable")
+    reach = np.cumsum(gain[order])
+    split = int(np.searchsorted(reach, theta)) if theta > 0 else 0  # bounds that sum to less than theta
+    rest = int(reach[split - 1]) if split else 0
+    essential, others = [d for d in order[split:].tolist() if q[d]], [d for d in order[:split][::-1].tolist() if q[d]]
     score = np.zeros(len(shard.ids), kind)
-    for d in essential:
-        a, b = shard.starts[2 * d + (q[d] > 0)], shard.starts[2 * d + (q[d] > 0) + 1]
+
+    def traverse(d: int, sign: int) -> None:
+        a, b = shard.starts[2 * d + sign], shard.starts[2 * d + sign + 1]
         score[shard.rows[a:b]] += shard.posted[a:b] * q[d]
+
+    for d in essential:
+        traverse(d, int(q[d] > 0))
     alive = np.flatnonzero((score > 0) & (score + rest >= theta)) if theta > 0 else np.arange(len(shard.ids))
+    many = 8 * len(alive) > len(shard.ids)
+    if many:  # the lists of the other sign cost less than probing so many rows
+        for d in essential:
+            traverse(d, int(q[d] < 0))
+        alive = alive[score[alive] + rest >= theta]
     part = score[alive]
-    for d in essential:  # what the lists of the other sign take away
+    for d in [] if many else essential:  # what the lists of the other sign take away
         if not len(alive):
             break
         part = part + np.minimum(shard.at(alive, d) * q[d], 0)
@@ -178,7 +190,7 @@ def search(shard: Shard, query_id: int, query: np.ndarray, theta: int, k: int) -
         if not len(alive):
             break
         part = part + shard.at(alive, d) * q[d]
-        rest -= gain[d]
+        rest -= int(gain[d])
         on = part + rest >= theta
         if not on.all():
             alive, part = alive[on], part[on]
