@@ -40,7 +40,8 @@ from heddle.llm.common import Scratch, materialise
 from heddle.llm.components import components
 
 BANDS, ROWS, WIDTH = 32, 4, 5
-#: Ids broadcast instead of joined by a shuffle: at most this many (16 bytes each).
+#: Rows broadcast instead of joined by a shuffle: at most this many (an id, and for the sets up to
+#: 32 centres of 12 bytes).
 BROADCAST_ROWS = 100_000
 #: Members compared with one copy of their centre's set.
 SHARE = 2048
@@ -72,17 +73,26 @@ def full_set(text: Column) -> Column:
     return shingled(text)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y) with the sizes of both sets, their intersection, and x without y."""
-    left = sets.select(F.col("cls").alias("x"), F.col("s").alias("sx"))
-    right = sets.select(F.col("cls").alias("y"), F.col("s").alias("sy"))
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (x, y) with the share each is compared in, and the number of shares of each y."""
     shares = pairs.groupBy("y").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    dealt = pairs.join(shares, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"))
-    copies = shares.join(right, "y").select("y", "sy", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    both = dealt.join(left, "x").join(copies, ["y", "share"]).select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.array_except("sx", "sy").alias("added"))
+    return pairs.join(shares, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share")), shares
+
+
+def _met(left: DataFrame, centres: DataFrame) -> DataFrame:
+    """left (x, sx, y, share) against centres (y, sy, shares): sizes of both sets, their intersection, and x without y."""
+    copies = centres.select("y", "sy", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    both = left.join(copies, ["y", "share"]).select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.array_except("sx", "sy").alias("added"))
     return both.withColumn("inter", F.col("nx") - F.size("added"))
 
 
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Any pairs (x, y) compared on full sets."""
+    dealt, shares = _dealt(pairs)
+    left = dealt.join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x")
+    return _met(left, shares.join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y"))
+
+
 def _linked(similarity: int) -> Column:
     return 100 * F.col("inter") >= similarity * (F.col("nx") + F.col("ny") - F.col("inter"))
 
@@ -95,10 +105,15 @@ def _residual(checked: DataFrame, reached: DataFrame, similarity: int, scratch:
     placed = scratch.keep(placed, "placed")
     # 1: additions shared by classes of one centre, rarest first. If x and y share a of them,
     # the rarest shared one stands at place |A| - a + 1 or before in both.
-    shingle = placed.select("c", "x", "nx", "comp", "linked", "inter", F.size("added").alias("na"), F.explode("added").alias("e"))
+    # Both readers of this exchange use all its columns under the same filters, so that it is written once.
+    shingle = placed.where("c IS NOT NULL AND x IS NOT NULL").select("c", "x", "comp", F.explode("added").alias("e")).repartition("c", "e")
     # an addition within one component links nothing
-    shared = shingle.groupBy("c", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1")
-    ranked = shingle.join(shared, ["c", "e"], "left").withColumn("at", F.row_number().over(Window.partitionBy("c", "x").orderBy(F.coalesce("df", F.lit(1)), "e"))).where("lo != hi")
+    shared = shingle.groupBy("c", "e").agg(F.count("x").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1")
+    # places are counted from the end, so that additions of one class alone, the rarest, need not be there
+    back = F.row_number().over(Window.partitionBy("c", "x").orderBy(F.desc("df"), F.desc("e")))
+    ranked = shingle.join(shared, ["c", "e"]).select("c", "x", "comp", "e", (F.col("lo") != F.col("hi")).alias("apart"), back.alias("back")).where("apart")
+    whole = placed.select("c", "x", "nx", "linked", "inter", F.size("added").alias("na"))
+    ranked = ranked.join(whole, ["c", "x"]).withColumn("at", F.col("na") + 1 - F.col("back"))
     ranked = scratch.keep(ranked.select("c", "e", "x", "nx", "comp", "linked", "inter", "na", "at"), "ranked")
     own = placed.where(~F.col("linked"))
     added = F.size("added")
@@ -134,24 +149,30 @@ def near_duplicates(docs: DataFrame, similarity: int, *, id_col: str = "doc_id",
         rows = keep(source.select("uid", "doc_id", described(F.col("text")).alias("d")).select("uid", "doc_id", "d.*"), "rows")
         full = rows.where("n_shingles > 0")
         # a class's first row: smallest doc_id (null last), then uid; its uid names the class
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid")).alias("least")
-        classes = keep(full.groupBy("set_key").agg(first).select("set_key", "least", F.col("least.uid").alias("cls")), "classes")
-        banded = keep(full.join(classes.select("cls"), F.col("uid") == F.col("cls")).select("cls", F.explode("bands").alias("bucket")), "banded")
-        sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "uid", "bands")).alias("first")
+        least = F.struct("first.null_id", "first.doc_id", "first.uid").alias("least")
+        classes = keep(full.groupBy("set_key").agg(first).select("set_key", least, F.col("first.uid").alias("cls"), F.col("first.bands").alias("bands")), "classes")
+        # one exchange for the sizes and for the members: both use all its columns
+        banded = classes.select("cls", F.explode("bands").alias("bucket")).repartition("bucket")
+        sizes = banded.groupBy("bucket").agg(F.count("cls").alias("size")).where("size > 1")
         members = keep(banded.join(sizes, "bucket"), "members")
-        scratch.drop(banded)
         company = members.groupBy("cls").agg(F.sum("size").alias("company"))
         centres = members.join(company, "cls").groupBy("bucket").agg(F.max(F.struct("company", "cls")).alias("c")).select("bucket", F.col("c.cls").alias("c"))
         star = keep(members.join(centres, "bucket").where("cls != c").select(F.col("cls").alias("x"), F.col("c").alias("y")).distinct(), "star")
-
-        # the classes that share a bucket, with their full sets
-        wanted = keep(members.select("cls").distinct(), "wanted")
         scratch.drop(members)
+
+        # The classes of the stars with their full sets, each with its centres (one a band at most) and,
+        # if it is one, its shares: a set then goes to its centres without a join on its own id.
+        dealt, shares = _dealt(star)
+        centred = dealt.groupBy(F.col("x").alias("cls")).agg(F.collect_list(F.struct("y", "share")).alias("centres"))
+        wanted = keep(centred.join(shares.withColumnRenamed("y", "cls"), "cls", "full"), "wanted")
         few = wanted.count() <= BROADCAST_ROWS
         chosen = source.select("uid", "text").join(F.broadcast(wanted) if few else wanted, F.col("uid") == F.col("cls"))
-        sets = keep(chosen.select("cls", full_set(F.col("text")).alias("s")), "sets")
+        sets = keep(chosen.select("cls", "centres", "shares", full_set(F.col("text")).alias("s")), "sets")
 
-        checked = keep(_compared(star, sets).withColumn("linked", _linked(similarity)), "checked")
+        left = sets.select(F.col("cls").alias("x"), F.col("s").alias("sx"), F.explode("centres").alias("p")).select("x", "sx", "p.y", "p.share")
+        centre = sets.where("shares IS NOT NULL").select(F.col("cls").alias("y"), F.col("s").alias("sy"), "shares")
+        checked = keep(_met(left, centre).withColumn("linked", _linked(similarity)), "checked")
         links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
         reached = components(links, scratch)
         more = keep(_compared(keep(_residual(checked, reached, similarity, scratch), "residual"), sets).where(_linked(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")), "more")
