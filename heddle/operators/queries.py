@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import hashing, numbers
-from heddle.operators import history, indexes, queues, reads, writes
+from heddle.operators import history, indexes, queues, reads, topics, writes
 from heddle.operators.read_sequence import From, Node, Template, mapped, read_sequence
 from heddle.operators.reads import Relation
 from heddle.plans import expressions as E
@@ -728,3 +728,41 @@ def canonical_number_all(spark, d):
 def number_order_all(spark, d):
     own = t(spark, d, "customer").withColumn("k", numbers.sort_key_column(F.col("c_acctbal").cast("decimal(20,2)").cast("string")))
     return reads.places(own, ["k", "c_custkey"]).select("c_custkey", "place")
+
+
+# -- topics and subscriptions as tables --------------------------------------------------------------------
+
+
+def subscribed(spark, d):
+    """A topic for every user; every customer asks for two subscriptions, one of them of a kind or topic that may not be."""
+    none = spark.createDataFrame([], "topic string, display_name string, created_at long")
+    held = topics.create(none, t(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("topic")), 1)
+    empty = spark.createDataFrame([], "subscription_id string, topic string, protocol string, endpoint string, raw boolean, confirmed boolean, token string, subscribed_at long, unsubscribed_at long")
+    key = F.col("c_custkey")
+    kind = F.when(key % 4 == 0, "sqs").when(key % 4 == 1, "http").when(key % 4 == 2, "https").otherwise("email")
+    asked = t(spark, d, "customer").select(F.concat(F.lit("user-"), (key % 100).cast("string")).alias("topic"), kind.alias("protocol"), F.concat(F.lit("http://"), "c_name").alias("endpoint"))
+    return held, *topics.subscribe(held, empty, asked, 2)
+
+
+ASKED = """(SELECT 'user-' || (c_custkey % 100) AS topic, CASE c_custkey % 4 WHEN 0 THEN 'sqs' WHEN 1 THEN 'http' WHEN 2 THEN 'https' ELSE 'email' END AS protocol, 'http://' || c_name AS endpoint FROM customer)"""
+TOPICS = "(SELECT DISTINCT 'user-' || user_id AS topic FROM events)"
+
+
+@query(
+    "t18_subscribe",
+    f"""SELECT topic, protocol, endpoint, CASE WHEN protocol = 'email' THEN 'UnsupportedProtocol' WHEN protocol = 'https' THEN 'InvalidEndpoint'
+        WHEN topic NOT IN (SELECT topic FROM {TOPICS}) THEN 'NotFound' END AS error FROM (SELECT DISTINCT * FROM {ASKED})""",
+)
+def subscribe(spark, d):
+    return subscribed(spark, d)[2].select("topic", "protocol", "endpoint", "error")
+
+
+@query(
+    "t18_topic_attributes",
+    f"""SELECT topic, CAST(count(*) FILTER (protocol = 'sqs' OR length(endpoint) % 2 = 0 AND protocol = 'http') AS BIGINT) AS confirmed,
+        CAST(count(*) FILTER (protocol = 'http' AND length(endpoint) % 2 = 1) AS BIGINT) AS pending FROM {TOPICS} LEFT JOIN (SELECT DISTINCT * FROM {ASKED}) USING (topic) GROUP BY topic""",
+)
+def topic_attributes(spark, d):
+    held, subscriptions, _ = subscribed(spark, d)
+    after, _ = topics.confirm(subscriptions, subscriptions.where("length(endpoint) % 2 = 0 AND token IS NOT NULL").select("topic", "token"))
+    return topics.attributes(held, after).select("topic", "confirmed", "pending")

@@ -464,3 +464,39 @@ def test_pressure_follows_the_controller(spark):
     texts = ["", "a", "orders", "é漢"]
     got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", hashing.change_slot_column(F.col("t")).alias("s")).collect()
     assert {r.t: r.s for r in got} == {x: hashing.change_slot(x) for x in texts}
+
+
+def test_topics_and_subscriptions(spark):
+    from heddle.operators import topics
+
+    none = spark.createDataFrame([], "topic string, display_name string, created_at long")
+    names = lambda *given: spark.createDataFrame([(n,) for n in given], "topic string")
+    held = topics.create(topics.create(none, names("a", "b", "a"), 1), names("a", "c"), 5)
+    assert sorted((r.topic, r.created_at) for r in held.collect()) == [("a", 1), ("b", 1), ("c", 5)]
+    for wrong in ("", "x.fifo", "x y", "x" * 257, None):
+        with pytest.raises(Exception, match="invalid topic name"):
+            topics.create(none, names(wrong), 1).collect()
+
+    empty = spark.createDataFrame([], "subscription_id string, topic string, protocol string, endpoint string, raw boolean, confirmed boolean, token string, subscribed_at long, unsubscribed_at long")
+    asked = spark.createDataFrame([("a", "sqs", "q"), ("a", "http", "http://x"), ("a", "http", "http://x"), ("a", "https", "http://x"), ("zz", "sqs", "q"), ("a", "mail", "x"), ("a", "sqs", ""), ("a", None, None)], "topic string, protocol string, endpoint string")
+    subs, results = topics.subscribe(held, empty, asked, 7)
+    errors = sorted((r.protocol or "", r.endpoint or "", r.error) for r in results.where("error IS NOT NULL").collect())
+    assert errors == [("", "", "UnsupportedProtocol"), ("https", "http://x", "InvalidEndpoint"), ("mail", "x", "UnsupportedProtocol"), ("sqs", "", "InvalidEndpoint"), ("sqs", "q", "NotFound")]
+    again, same = topics.subscribe(held, subs, asked, 9)
+    assert again.count() == 2 and {r[0] for r in same.select("subscription_id").dropna().collect()} == {r[0] for r in subs.select("subscription_id").collect()}
+    shown = lambda s: {r.topic: (r.confirmed, r.pending) for r in topics.attributes(held, s).collect()}
+    assert shown(subs) == {"a": (1, 1), "b": (0, 0), "c": (0, 0)}
+    tokens = subs.where("token IS NOT NULL").select("topic", "token")
+    after, lost = topics.confirm(subs, tokens.unionByName(spark.createDataFrame([("a", "no")], "topic string, token string")))
+    assert shown(after)["a"] == (2, 0) and [r.token for r in lost.collect()] == ["no"]
+    ended = topics.unsubscribe(after, after.where("protocol = 'sqs'").select("subscription_id"), 11)
+    assert shown(ended)["a"] == (1, 0) and ended.count() == 2
+    assert [t.count() for t in topics.delete(held, ended, names("a", "none"))] == [2, 0]
+
+    sent = spark.createDataFrame([("1", "a", "m", None), ("2", "no", "m", None), ("3", "a", "", None), ("4", "a", "m", "s" * 101)], "publication_id string, topic string, message string, subject string")
+    accepted, refused = topics.publish(held, sent, 12)
+    assert [r.publication_id for r in accepted.collect()] == ["1"] and sorted(r.error for r in refused.collect()) == ["EmptyMessage", "InvalidParameter", "NotFound"]
+    assert [r.topic for r in topics.page(held, "topic", "a", 1).collect()] == ["b"]
+    assert topics.set_attribute(held, "topic", "a", "DisplayName", "A").where("display_name = 'A'").count() == 1
+    with pytest.raises(Exception, match="unsupported"):
+        topics.set_attribute(held, "topic", "a", "Policy", "x")
