@@ -58,6 +58,24 @@ def test_word_ids_equal_the_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_stems_of_many_parts_stay_when_the_cache_is_full(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(word_ids, "CACHE_BYTES", 12_000)  # about three texts
+    own, learnt = word_ids.Words(queries.WORD_TOKENIZER), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    rng = random.Random(5)
+    common = ["the" + chr(97 + i) for i in range(20)] + ["é", "It's", "naïve", "12"]
+    texts = [" ".join(rng.sample(common, len(common)) + ["".join(rng.choices("abcdeß", k=9)) + rng.choice(["", ".", "!?"]) for _ in range(60)]) for _ in range(40)]
+    library = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    for text in texts:
+        assert np.frombuffer(own.pack(pa.array([text]), None)[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [learnt.count(w.lower()) for w in common] == [1] * len(common)  # once each, though the cache was full many times
+    assert own.pack(pa.array([], pa.string()), 2) == [] and own.pack(pa.array([None, " "], pa.string()), 2) == [b"\x02\0\0\0"] * 2
+    assert own.pack(pa.array(["drop", "keep, this", None])[1:], 2) == [np.array([*library.encode("keep, this").ids, 2], "<u4").tobytes(), b"\x02\0\0\0"]
+
+
 def test_packing_partitions_every_document(spark, clash):
     long = spark.createDataFrame([(100, "word " * 9001, "en", "s", 1, "m", 0.0)], clash.schema)
     rows = packing.pieces(clash.unionByName(long), queries.WORD_TOKENIZER).collect()
