@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.operators.reads import Relation
 from heddle.plans.columns import tag_of
@@ -84,9 +85,12 @@ def lag_policy(lag_ms: Column) -> Column:
 
 def ttl_index(items: DataFrame, attribute: str) -> DataFrame:
     """Items whose attribute reads as whole seconds, with ttl_seconds."""
-    column = F.col(f"`{attribute}`")
-    text = F.when(F.rlike(column.cast("string"), F.lit(r"^-?\d+(\.0+)?$")), F.regexp_replace(column.cast("string"), r"\.0+$", "")) if tag_of(items.schema[attribute].dataType) == "N" else F.lit(None).cast("string")
-    return items.withColumn("ttl_seconds", text.try_cast("long")).where("ttl_seconds IS NOT NULL")
+    column, kind = F.col(f"`{attribute}`"), items.schema[attribute].dataType
+    if tag_of(kind) != "N":
+        return items.withColumn("ttl_seconds", F.lit(None).cast("long")).where("ttl_seconds IS NOT NULL")
+    # by value, as the text of a double of 10^7 or more has an exponent; 2^63 as a double would be cut to the greatest long
+    whole = (column % 1 == 0) & (column < 2.0**63) if isinstance(kind, (T.FloatType, T.DoubleType)) else column % 1 == 0
+    return items.withColumn("ttl_seconds", F.when(whole, column.try_cast("long"))).where("ttl_seconds IS NOT NULL")
 
 
 def expired(items: DataFrame, attribute: str, cutoff: int, key: list[str]) -> DataFrame:

@@ -500,3 +500,20 @@ def test_topics_and_subscriptions(spark):
     assert topics.set_attribute(held, "topic", "a", "DisplayName", "A").where("display_name = 'A'").count() == 1
     with pytest.raises(Exception, match="unsupported"):
         topics.set_attribute(held, "topic", "a", "Policy", "x")
+
+
+def test_expiry_is_read_by_value(spark):
+    """Doubles of 10^7 and more, whose text has an exponent, are seconds like any other."""
+    rows = [(0, 5.0, 5), (1, 9_999_999.0, 9_999_999), (2, 1e7, 10**7), (3, 17_999_997.0, 17_999_997), (4, -2e10, -2 * 10**10), (5, 2.0**62, 2**62), (6, -(2.0**63), -(2**63)), (7, -0.0, 0)]
+    out = [(20, 0.5), (21, 10_000_000.5), (22, 2.0**63), (23, -1e19), (24, float("nan")), (25, float("inf")), (26, None), (27, float("-inf"))]
+    items = spark.createDataFrame([r[:2] for r in rows] + out, "id int, ttl double")
+    assert {r.id: r.ttl_seconds for r in indexes.ttl_index(items, "ttl").collect()} == {r[0]: r[2] for r in rows}
+    floats = spark.createDataFrame([(1, 16777216.0), (2, 2.0**63), (3, 0.5)], "id int, ttl float")
+    assert [(r.id, r.ttl_seconds) for r in indexes.ttl_index(floats, "ttl").collect()] == [(1, 2**24)]
+    texts = [("1", 12345678), ("2", None), ("3", 2**63 - 1), ("4", None)]
+    exact = spark.createDataFrame(list(zip("1234", ["12345678.00", "12345678.01", "9223372036854775807", "9223372036854775808"])), "id string, t string").selectExpr("id", "cast(t as decimal(38,2)) ttl")
+    assert {r.id: r.ttl_seconds for r in indexes.ttl_index(exact, "ttl").collect()} == {k: v for k, v in texts if v is not None}
+    assert indexes.ttl_index(spark.createDataFrame([(1, "5")], "id int, ttl string"), "ttl").isEmpty()
+    victims = indexes.expired(items, "ttl", 10**7, ["id"])
+    assert sorted(r.id for r in victims.collect()) == [0, 1, 2, 4, 6, 7]
+    assert indexes.sweep(items, "ttl", victims, ["id"]).count() == len(rows) + len(out) - 6
