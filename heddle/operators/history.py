@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators import reads
+
 VIEWS = {"KEYS_ONLY": (), "NEW_IMAGE": ("new",), "OLD_IMAGE": ("old",), "NEW_AND_OLD_IMAGES": ("new", "old")}
 STREAM_LIMIT, SYSTEM_LIMIT = 1000, 8192
 
@@ -104,12 +106,11 @@ def change_markers(log: DataFrame, table: str, seq: str, slot: Column) -> DataFr
 
 
 def append_once(stream: DataFrame, batch: DataFrame, operation: str, seq: str) -> DataFrame:
-    """Append rows whose operation id the stream has not seen, numbered on from its end."""
+    """Append rows whose operation id the stream has not seen, numbered on from its end in the order of the ids."""
     fresh = batch.dropDuplicates([operation]).join(stream.select(operation), operation, "left_anti")
     end = stream.agg(F.max(seq)).first()[0]  # one number
-    # ids rise in the order of the operations and need not be dense, so no task sees all rows
-    ordered = fresh.repartitionByRange(operation).sortWithinPartitions(operation)
-    numbered = ordered.withColumn(seq, F.lit(-1 if end is None else end) + 1 + F.monotonically_increasing_id())
+    # places, unlike ids by task, are the same however often and however dealt the rows are computed
+    numbered = reads.places(fresh, [operation], "__place").withColumn(seq, F.lit(-1 if end is None else end) + F.col("__place"))
     return stream.unionByName(numbered.select(*stream.columns))
 
 

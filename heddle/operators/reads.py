@@ -312,7 +312,9 @@ def places(rows: DataFrame, order: list[str], column: str = "place") -> DataFram
     bounds = sample[20::20]
     typed = lambda row: F.struct(*[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, row)])
     own = F.struct(*order)
-    at = F.size(F.filter(F.array(*map(typed, bounds)), lambda b: b <= own)) if bounds else F.lit(0)
+    # the number of bounds at or before a row, by halving steps
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(F.array(*map(typed, bounds)), n + step - 1) <= own, n + step).otherwise(n)) if bounds else F.lit(0)
     dealt = rows.withColumn("__range", at)
     counts = dealt.groupBy("__range").count().collect()  # one row a range
     before, total = {}, 0

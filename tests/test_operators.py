@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import history, indexes, queues, read_sequence, reads, writes
+from heddle.operators import history, indexes, queries, queues, read_sequence, reads, writes
 from heddle.plans import expressions as E
 from heddle.sources.catalog import Catalog, CatalogError, Table
 
@@ -517,3 +517,28 @@ def test_expiry_is_read_by_value(spark):
     victims = indexes.expired(items, "ttl", 10**7, ["id"])
     assert sorted(r.id for r in victims.collect()) == [0, 1, 2, 4, 6, 7]
     assert indexes.sweep(items, "ttl", victims, ["id"]).count() == len(rows) + len(out) - 6
+
+
+def test_appended_numbers_do_not_depend_on_the_dealing(spark, tmp_path):
+    """Rows enough that range bounds by a random sample would differ between two runs."""
+    events = spark.range(40_000).select(F.col("id").alias("event_id"), F.concat(F.lit("e"), "id").alias("props"))
+    held = events.where("event_id < 10").select("event_id", F.col("event_id").cast("int").alias("seq"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = history.append_once(held, events.unionByName(events), "event_id", "seq")
+        for part in (out.where("event_id >= 0"), out.where("seq >= 0")):
+            assert part.where("seq <> event_id").isEmpty() and part.count() == 40_000
+        events.write.parquet(f"{tmp_path}/events.parquet")
+        rows = queries.QUERIES["t12_append_once"](spark, str(tmp_path)).collect()
+        order = sorted(range(40_000), key=lambda i: (i % 3 != 0, i))
+        assert {(r.event_id, r.kept_seq, r.place) for r in rows} == {(i, i if i % 3 == 0 else None, n) for n, i in enumerate(order, 1)}
+        assert len(rows) == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_on_both_sides_of_every_bound(spark):
+    for n in (0, 1, 19, 20, 21, 40, 61, 200):
+        rows = spark.createDataFrame([(i % 7 if i % 7 else None, f"{i:03}") for i in range(n)], "a int, b string")
+        got = {(r.a, r.b): r.place for r in reads.places(rows, ["a", "b"]).collect()}
+        assert got == {k: i for i, k in enumerate(sorted(got, key=lambda k: (k[0] or 0, k[1])), 1)} and len(got) == n
