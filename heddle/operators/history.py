@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.operators import reads
 
@@ -183,18 +184,30 @@ def pressure(samples: DataFrame, partition: str, at: str, load: str, capacity: f
     ones at a pressure of 1.3 SPLIT (a queue has a partition added at 1.2: ADD); twelve low ones
     at a pressure of at most 0.35 DRAIN.
     """
-    points = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), (F.col(load) / capacity).alias("x"))))
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("i"), F.lit(0).alias("h"), F.lit(0).alias("l"))
-
-    def next_state(a: Column, x: Column) -> Column:
-        smooth = F.when(a["e"] <= 0, x).otherwise(0.4 * x + 0.6 * a["e"])
-        integral = F.greatest(F.lit(-2.0), F.least(F.lit(4.0), a["i"] + smooth - 1.0))
-        return F.struct(smooth.alias("e"), integral.alias("i"), F.when(x >= 1.0, a["h"] + 1).otherwise(0).alias("h"), F.when((x <= 0.35) & (x < 1.0), a["l"] + 1).otherwise(0).alias("l"))
-
-    series = samples.groupBy(partition).agg(points.alias("s"))
-    states = F.aggregate("s", F.array(start), lambda all_, s: F.concat(all_, F.array(next_state(F.element_at(all_, -1), s["x"]))), lambda all_: F.slice(all_, F.lit(2), F.size(all_)))
-    each = series.select(partition, F.explode(F.arrays_zip(F.transform("s", lambda s: s["at"]).alias("at"), states.alias("c"))).alias("z"))
-    found = each.select(partition, F.col("z.at").alias(at), (F.col("z.c.e") + 0.2 * F.col("z.c.i")).alias("pressure"), F.col("z.c.h").alias("high_streak"), F.col("z.c.l").alias("low_streak"))
+    # one pass over every partition's samples in order, a batch at a time: nothing is held but the last state
+    ordered = samples.withColumn("__x", (F.col(load) / capacity).cast("double")).repartition(partition).sortWithinPartitions(partition, F.asc_nulls_last(at), "__x")
+    kept = [partition, at, *[c for c in samples.columns if c not in (partition, at)]]
+    schema = T.StructType([*[samples.schema[c] for c in kept], T.StructField("pressure", T.DoubleType()), T.StructField("high_streak", T.IntegerType()), T.StructField("low_streak", T.IntegerType())])
+
+    def states(batches):
+        import pyarrow as pa
+
+        owner, e, i, h, low = [], 0.0, 0.0, 0, 0
+        for batch in batches:
+            found = ([], [], [])
+            for p, x in zip(batch.column(partition).to_pylist(), batch.column("__x").to_pylist(), strict=True):
+                if [p] != owner and not (owner and p != p and owner[0] != owner[0]):  # NaN is one partition
+                    owner, e, i, h, low = [p], 0.0, 0.0, 0, 0
+                # as in SQL: a null makes the smoothed ratio null, the clamp passes over nulls, NaN is the greatest
+                e = None if x is None or e is None else x if e <= 0 else 0.4 * x + 0.6 * e
+                i = 4.0 if e is None or not i + e - 1.0 < 4.0 else max(-2.0, i + e - 1.0)
+                h = h + 1 if x is not None and not x < 1.0 else 0
+                low = low + 1 if x is not None and x <= 0.35 else 0
+                for column, value in zip(found, (None if e is None else e + 0.2 * i, h, low)):
+                    column.append(value)
+            own = [batch.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(found, (pa.float64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(own, [*kept, "pressure", "high_streak", "low_streak"])
+
     high = (F.col("high_streak") >= 3) & (F.col("pressure") >= (1.2 if queue else 1.3))
     low = (F.col("low_streak") >= 12) & (F.col("pressure") <= 0.35)
-    return samples.join(found.withColumn("action", F.when(high, "ADD" if queue else "SPLIT").when(low, "DRAIN").otherwise("KEEP")), [partition, at])
+    return ordered.mapInArrow(states, schema).withColumn("action", F.when(high, "ADD" if queue else "SPLIT").when(low, "DRAIN").otherwise("KEEP"))

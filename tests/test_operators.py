@@ -542,3 +542,42 @@ def test_places_on_both_sides_of_every_bound(spark):
         rows = spark.createDataFrame([(i % 7 if i % 7 else None, f"{i:03}") for i in range(n)], "a int, b string")
         got = {(r.a, r.b): r.place for r in reads.places(rows, ["a", "b"]).collect()}
         assert got == {k: i for i, k in enumerate(sorted(got, key=lambda k: (k[0] or 0, k[1])), 1)} and len(got) == n
+
+
+def test_pressure_is_one_pass_over_a_series(spark):
+    """A long series, its state carried from batch to batch; no list of a partition's samples, no join back to them."""
+    n = 20_000
+    load = lambda p, i: float((i * 7919 + p * 31) % 211)
+    samples = spark.createDataFrame([(f"p{p}", i, load(p, i), i % 3) for i in reversed(range(n)) for p in (0, 1)], "part string, at int, load double, mark int").repartition(8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "997")
+    try:
+        out = history.pressure(samples, "part", "at", "load", 100.0, queue=True)
+        rows = {(r["part"], r["at"]): r for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in plan and "Join" not in plan
+    assert out.columns == ["part", "at", "load", "mark", "pressure", "high_streak", "low_streak", "action"] and len(rows) == 2 * n
+    for p in (0, 1):
+        smooth, total, high, low = 0.0, 0.0, 0, 0
+        for i in range(n):
+            x = load(p, i) / 100.0
+            smooth = x if smooth <= 0 else 0.4 * x + 0.6 * smooth
+            total = max(-2.0, min(4.0, total + smooth - 1.0))
+            high, low = (high + 1 if x >= 1 else 0), (low + 1 if x <= 0.35 else 0)
+            r = rows[f"p{p}", i]
+            want = "ADD" if high >= 3 and smooth + 0.2 * total >= 1.2 else "DRAIN" if low >= 12 and smooth + 0.2 * total <= 0.35 else "KEEP"
+            assert (r.pressure, r.high_streak, r.low_streak, r.action, r.load, r.mark) == (smooth + 0.2 * total, high, low, want, load(p, i), i % 3)
+
+
+def test_pressure_keeps_every_sample_once(spark):
+    """Two samples at one time stay two, in the order of their loads; one without a time comes last."""
+    rows = [("a", 1, 200.0), ("a", 1, 100.0), ("a", None, 50.0), ("a", 2, 0.0), ("b", 1, None), ("b", 2, 300.0), ("c", 1, float("nan"))]
+    out = history.pressure(spark.createDataFrame(rows, "part string, at int, load double"), "part", "at", "load", 100.0)
+    got = sorted(((r["part"], r["at"], r.load, r.pressure, r.high_streak, r.low_streak) for r in out.collect()), key=lambda r: (r[0], r[1] or 9, str(r[2])))
+    assert len(got) == len(rows)
+    assert [(r[4], r[5]) for r in got] == [(1, 0), (2, 0), (0, 1), (0, 0), (0, 0), (1, 0), (1, 0)]
+    smooth = [1.0, 1.4, 0.84, 0.704]
+    total = [0.0, 0.4, 0.24, -0.056]
+    assert [r[3] for r in got[:4]] == pytest.approx([e + 0.2 * i for e, i in zip(smooth, total, strict=True)])
+    assert [r[3] for r in got[4:6]] == [None, None] and got[6][3] != got[6][3]
